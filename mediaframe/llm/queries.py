@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mediaframe.llm import matroska, topk
+from mediaframe.llm import matroska, topk, warc
 
-MODULES = [matroska, topk]
+MODULES = [matroska, topk, warc]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
