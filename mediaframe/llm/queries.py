@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mediaframe.llm import matroska, topk, warc
+from mediaframe.llm import language, matroska, topk, toxicity, warc
 
-MODULES = [matroska, topk, warc]
+MODULES = [toxicity, warc, matroska, language, topk]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
