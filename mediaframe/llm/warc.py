@@ -4,7 +4,7 @@ Writing stays in the JVM: a payload is cut into segments of bounded size and eac
 record of its own (segment 1 keeps the record's type, the others are ``continuation`` records with
 ``WARC-Segment-Number``), so no task ever builds a record longer than a segment. Spark's text writer
 puts the record separator ``\\r\\n\\r\\n`` behind each one and commits the files, so lost executors and
-speculative copies leave no half-written archive.
+speculative copies leave no half-written archive; the archives are gzipped.
 
 Reading streams each archive: a record comes back as rows (record id, chunk number, bytes) in order,
 each with the number of payload bytes and the SHA-1 up to and including that chunk. The digest of the
@@ -101,7 +101,7 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", payload: str
     later = _head(F.lit("continuation"), F.concat(rid, F.lit(":"), F.col("seg").cast("string")), _line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), rid, F.lit(">"))), numbered, summed)
     sized = _line("Content-Length", F.octet_length(piece).cast("string"))
     responses = cut.select(F.concat(F.when(F.col("seg") == 1, first).otherwise(later).cast("binary"), sized.cast("binary"), F.lit(CRLF).cast("binary"), piece).cast("string").alias("value"))
-    responses.unionByName(revisits).write.option("lineSep", CRLF * 2).text(path)
+    responses.unionByName(revisits).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 # ---- reading ----------------------------------------------------------------------------------
