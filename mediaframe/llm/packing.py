@@ -25,7 +25,7 @@ from mediaframe.llm.common import map_rows, materialize, read
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PYTHON_ONLY = re.compile("[\x1c-\x1f]")  # str.split() breaks at these, the tokenizer does not
 
 
