@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mediaframe.llm import language, matroska, packing, topk, toxicity, warc
+from mediaframe.llm import language, matroska, mixing, packing, topk, toxicity, warc
 
-MODULES = [toxicity, warc, matroska, packing, language, topk]
+MODULES = [toxicity, warc, mixing, matroska, packing, language, topk]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
