@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaframe.plans.storage import materialize, release, shared_dir
+
+__all__ = ["configure", "held_out", "map_rows", "materialize", "read", "release", "shared_dir"]
+
 #: Rows per Arrow batch handed to Python: 256 texts of 120 KB stay near 30 MB.
 ARROW_ROWS = 256
 
@@ -18,50 +21,11 @@ def configure(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="mediaframe-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/mediaframe/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/mediaframe/" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 3 is 1; a null id is held out, so nothing is learned from it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def text_key(col: Column) -> Column:
-    """128-bit key of a text, from two independent 64-bit hashes: equal texts, equal keys."""
-    return F.substring(F.md5(col.cast("binary")), 1, 32)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
