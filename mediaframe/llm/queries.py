@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from mediaframe.llm import language, licenses, matroska, mixing, near_dup, packing, topk, toxicity, warc
+from mediaframe.llm import language, licenses, matroska, mixing, near_dup, packing, suffix_dedup, topk, toxicity, warc
 
-MODULES = [toxicity, warc, mixing, matroska, packing, licenses, near_dup, language, topk]
+MODULES = [toxicity, warc, mixing, suffix_dedup, matroska, packing, licenses, near_dup, language, topk]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
