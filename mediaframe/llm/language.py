@@ -135,8 +135,8 @@ def train(docs: DataFrame, buckets: int = 128, window: int = 256, total: int = 1
     return Model({k: "\n".join(v)[:most] for k, v in parts.items()})
 
 
-def classify(docs: DataFrame, keep: list[str], model: Model | None, text: str = "text", stretch: int = 2048) -> DataFrame:
-    """keep, lang_pred, score. score: by how much the winner undercuts the second, from 0 to 1."""
+def classify(docs: DataFrame, keep: list[str], model: Model | None, text: str = "text", stretch: int = 2048, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep, lang_pred, score (or other names). score: by how much the winner undercuts the second, from 0 to 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(texts: list) -> tuple:
@@ -152,7 +152,13 @@ def classify(docs: DataFrame, keep: list[str], model: Model | None, text: str =
             score[i] = 1.0 if len(o) == 1 else float(1 - c[o[0]] / c[o[1]])
         return pred, score
 
-    return map_rows(docs, keep, [text], go, "lang_pred string, score double")
+    return map_rows(docs, keep, [text], go, f"{names[0]} string, {names[1]} double")
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are ``und``."""
+    named = classify(docs, docs.columns, train(docs), names=("__lang_pred", "__lang_score"))
+    return named.where(F.col("__lang_pred") != UND).select(*docs.columns)
 
 
 def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
