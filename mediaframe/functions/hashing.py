@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUICK_BYTES = 4096
 BUFFER = 65536
@@ -19,7 +20,7 @@ def full_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stored_quick_hash(content: pd.Series) -> pd.Series:
     """XXH64, seed 0, of the first 4096 bytes as 16 hexadecimal digits: equal to values stored elsewhere."""
     import xxhash
@@ -27,7 +28,7 @@ def stored_quick_hash(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else xxhash.xxh64_hexdigest(bytes(b)[:QUICK_BYTES]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stored_full_hash(content: pd.Series) -> pd.Series:
     """XXH64 chained over 64 KB reads: each read's digest seeds the next, the first seed is 0."""
     import xxhash

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The weights of sharpness, exposure, resolution and file size.
 WEIGHTS = (0.45, 0.30, 0.15, 0.10)
@@ -48,13 +49,13 @@ def _per_image(pixels: pd.Series, width: pd.Series, most: int, fn) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """Raw sharpness of row-major gray pixels, measured at no more than 800 pixels; null where there is none."""
     return _per_image(pixels, width, 800, laplacian_variance)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exposure(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """Exposure from 0 to 100, measured at no more than 400 pixels."""
     return _per_image(pixels, width, 400, exposure_value)
