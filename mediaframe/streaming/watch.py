@@ -33,7 +33,8 @@ def quiet_batches(changes: DataFrame, quiet: str = QUIET, late: str = "10 second
     aggregation merges sessions before the shuffle, so what meets in one place is sessions, not events.
     """
     window = F.session_window("ts", quiet)
-    rows = flat(changes).withWatermark("ts", late).groupBy(window.alias("w")).agg(F.count("*").alias("n"), F.max(F.col("kind").isin("create", "modify")).alias("rescan"))
+    one = F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(1))  # sessions need a key that is not a constant
+    rows = flat(changes).withWatermark("ts", late).groupBy(window.alias("w"), one.alias("stream")).agg(F.count("*").alias("n"), F.max(F.col("kind").isin("create", "modify")).alias("rescan"))
     return rows.select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "rescan")
 
 
