@@ -78,11 +78,11 @@ FAMILIES = (
 
 # Forms in which a name counts: priority, regex with {name} and {version}.
 FORMS = (
-    (3, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: {version})?"),
-    (3, "spdx licen[sc]e identifier {name}(?: {version})?(?: only| or later)?"),
-    (3, "under (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: {version})?"),
-    (2, "{name} {version}(?: only| or(?: any)? later(?: version)?)?"),
-    (2, "licen[sc]e {name}(?: {version})?"),
+    (3, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: ?{version})?"),
+    (3, "spdx licen[sc]e identifier {name}(?: ?{version})?(?: only| or later)?"),
+    (3, "under (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: ?{version})?"),
+    (2, "{name} ?{version}(?: only| or(?: any)? later(?: version)?)?"),
+    (2, "licen[sc]e {name}(?: ?{version})?"),
     (1, "(?:the )?{name} licen[sc]e"),
 )
 
