@@ -140,7 +140,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
                 space = room
             else:
                 space = capacity
-                bins, sequence = -(-left // (capacity // length)), used
+                bins, sequence = max(1, left // (capacity // length)), used
                 used += bins
             each = space // length
             if left < each:
