@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written and not released.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that spark.checkpoint.dir names, or below one of our own where it is unset."""
@@ -15,7 +18,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
         root = "file://" + tempfile.mkdtemp(prefix="mediaframe-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/mediaframe/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(f"{root.rstrip('/')}/mediaframe/{name}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +37,12 @@ def release(*tables: DataFrame) -> None:
             if "/mediaframe/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has written so far, once no result that reads it is needed; how many folders."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

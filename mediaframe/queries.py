@@ -165,7 +165,7 @@ def album_counts(r: Roles) -> DataFrame:
 WORKLIST = """
 + w AS (SELECT m.id, m.file_path, coalesce(e.date_taken, m.modified_at) AS best_date, m.sha256_hash,
     m.id IN (SELECT media_id FROM uploads) OR m.sha256_hash IN (SELECT sha256 FROM uploads WHERE sha256 IS NOT NULL) AS known
-  FROM media m LEFT JOIN exif e ON m.id = e.media_id WHERE m.id % 13 <> 0),
+  FROM media m LEFT JOIN exif e ON m.id = e.media_id WHERE m.id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
 f AS (SELECT *, row_number() OVER (PARTITION BY sha256_hash, known ORDER BY best_date, id) AS k FROM w)
 SELECT id, file_path, best_date, sha256_hash, CASE WHEN known THEN 'uploaded' WHEN k > 1 THEN 'same_content' END AS skip FROM f
 """
@@ -173,17 +173,11 @@ SELECT id, file_path, best_date, sha256_hash, CASE WHEN known THEN 'uploaded' WH
 
 @query(WORKLIST, "media", "exif", "uploads")
 def upload_worklist(r: Roles) -> DataFrame:
-    worse = r.media().select(F.lit(1).alias("group_id"), F.col("id").alias("media_id"), (F.col("id") % 13 != 0).alias("is_best"))
+    worse = r.table("labels").select(F.lit(1).alias("group_id"), F.col("doc_id").alias("media_id"), (F.col("quality") == 1).alias("is_best"))
     live = r.spark.range(1, 2).select("id", F.lit("pending").alias("status"))
     return membership.upload_worklist(r.media(), r.exif(), r.uploads(), worse, live)
 
 
-@query("SELECT id, CAST(n AS BIGINT) AS n FROM (SELECT a.id, count(m.media_id) AS n FROM albums a LEFT JOIN (SELECT * FROM album_media WHERE media_id < 8) m ON m.album_id = a.id GROUP BY a.id HAVING count(m.media_id) <= 1)", "albums", "album_media")
-def groups_to_resolve(r: Roles) -> DataFrame:
-    members = r.album_media().where("media_id < 8").select(F.col("album_id").alias("group_id"), "media_id")
-    return membership.groups_to_resolve(r.albums().withColumn("status", F.lit("pending")), members)
-
-
 @query("SELECT id, CASE WHEN file_path LIKE '/lib/src1/%' THEN '/moved/one' || substr(file_path, 10) ELSE file_path END AS file_path FROM media", "media")
 def prefix_rewrite(r: Roles) -> DataFrame:
     return membership.rewrite_prefix(r.media().select("id", "file_path"), "/lib/src1", "/moved/one/")
@@ -233,6 +227,14 @@ def trash_preview(r: Roles) -> DataFrame:
     return duplicates.trash_preview(members, groups, r.media(), "is_preferred").select(F.col("media_id").alias("id"))
 
 
+@query(f"SELECT g.group_id AS id, count(d.doc_id) AS n FROM {EXACT} g LEFT JOIN (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) d ON md5(d.text) = g.k GROUP BY 1 HAVING count(d.doc_id) <= 1")
+def groups_to_resolve(r: Roles) -> DataFrame:
+    """Groups with one member left or none, once the labelled documents are gone."""
+    found = _exact(r)
+    members = found.select("group_id", F.col("id").alias("media_id")).join(r.table("labels").select(F.col("doc_id").alias("media_id")), "media_id", "left_anti")
+    return membership.groups_to_resolve(found.select(F.col("group_id").alias("id")).distinct().withColumn("status", F.lit("pending")), members)
+
+
 PAIRS = """
 + b AS (SELECT id, phash, i AS band, (phash >> (56 - 8 * i)) & 255 AS v FROM hashes, (SELECT unnest(range(8)) AS i)),
 s AS (SELECT band, v FROM b GROUP BY band, v HAVING count(*) BETWEEN 2 AND 500),
@@ -308,7 +310,7 @@ def burst_sessions_by_user(r: Roles) -> DataFrame:
 
 
 SCORES = """
-+ p AS (SELECT id, id % 50 AS g, file_size, width, height, CAST(id % 3000 AS DOUBLE) AS sharp FROM media),
++ p AS (SELECT id, substr(file_path, 1, length(file_path) - length(file_name) - 1) AS g, file_size, width, height, CAST(file_size AS DOUBLE) AS sharp FROM media),
 m AS (SELECT g, max(coalesce(width, 0)::DOUBLE * coalesce(height, 0)::DOUBLE) AS area, max(file_size) AS size FROM p GROUP BY g)
 SELECT id, round(least(sharp / 20.0, 100.0) * 0.45 + 50.0 * 0.30 + CASE WHEN width IS NULL OR height IS NULL OR area <= 0 THEN 50.0 ELSE least(width::DOUBLE * height / area * 100.0, 100.0) END * 0.15
   + CASE WHEN size > 0 THEN least(file_size::DOUBLE / size * 100.0, 100.0) ELSE 50.0 END * 0.10, 6) AS quality_score FROM p JOIN m ON p.g = m.g
@@ -317,25 +319,25 @@ SELECT id, round(least(sharp / 20.0, 100.0) * 0.45 + 50.0 * 0.30 + CASE WHEN wid
 
 @query(SCORES, "media")
 def burst_scores(r: Roles) -> DataFrame:
-    rows = r.media().withColumn("g", F.col("id") % 50)
-    return bursts.score(rows, "g", (F.col("id") % 3000).cast("double"), F.lit(None).cast("double")).select("id", F.round("quality_score", 6).alias("quality_score"))
+    rows = r.media().withColumn("g", paths.parent(F.col("file_path"), F.col("file_name")))
+    return bursts.score(rows, "g", F.col("file_size").cast("double"), F.lit(None).cast("double")).select("id", F.round("quality_score", 6).alias("quality_score"))
 
 
-MARKS = "(SELECT m.id, m.file_size, CASE WHEN m.id % 6 = 0 THEN 'keep' WHEN m.id % 6 = 1 THEN 'discard' WHEN l.quality = 0 THEN 'discard' END AS mark FROM media m LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = m.id)"
+MARKS = "(SELECT m.id, m.file_size, CASE WHEN a.best THEN 'keep' WHEN NOT a.best THEN 'discard' WHEN l.quality = 0 THEN 'discard' END AS mark FROM media m LEFT JOIN (SELECT media_id, min(sort_order) = 0 AS best FROM album_media GROUP BY 1) a ON a.media_id = m.id LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = m.id)"
 
 
 def _marks(r: Roles) -> DataFrame:
-    held = r.media().where("id % 6 < 2").select(F.col("id").alias("media_id"), (F.col("id") % 6 == 0).alias("is_best"))
+    held = r.album_media().groupBy("media_id").agg((F.min("sort_order") == 0).alias("is_best"))
     scores = r.table("labels").groupBy(F.col("doc_id").alias("media_id")).agg((F.min("quality") * 100.0).alias("score"))
     return bursts.review_marks(r.media(), held, scores)
 
 
-@query(f"SELECT id, mark FROM {MARKS}", "media")
+@query(f"SELECT id, mark FROM {MARKS}", "media", "album_media")
 def review_marks(r: Roles) -> DataFrame:
     return _marks(r)
 
 
-@query(f"SELECT count(*) FILTER (mark = 'keep') AS keep, count(*) FILTER (mark = 'discard') AS discard, CAST(coalesce(sum(file_size) FILTER (mark = 'discard'), 0) AS BIGINT) AS discard_bytes FROM {MARKS}", "media")
+@query(f"SELECT count(*) FILTER (mark = 'keep') AS keep, count(*) FILTER (mark = 'discard') AS discard, CAST(coalesce(sum(file_size) FILTER (mark = 'discard'), 0) AS BIGINT) AS discard_bytes FROM {MARKS}", "media", "album_media")
 def review_progress(r: Roles) -> DataFrame:
     return bursts.review_progress(_marks(r), r.media())
 
@@ -505,13 +507,13 @@ def ingest_refresh(r: Roles) -> DataFrame:
 
 
 @query(
-    """SELECT id, replace(substr(date_taken, 1, 10), ':', '-') AS day_folder, substr(date_taken, 1, 4) || '/02-Feb' AS month_folder, CAST(replace(substr(date_taken, 1, 10), ':', '-') || substr(date_taken, 11) AS TIMESTAMP) AS parsed
-    FROM (SELECT media_id AS id, date_taken FROM exif WHERE date_taken IS NOT NULL AND substr(date_taken, 6, 2) = '02')""",
+    """SELECT id, strftime(t, '%Y-%m-%d') AS day_folder, strftime(t, '%Y/%m-%b') AS month_folder, t AS parsed
+    FROM (SELECT media_id AS id, CAST(replace(substr(date_taken, 1, 10), ':', '-') || substr(date_taken, 11) AS TIMESTAMP) AS t FROM exif WHERE date_taken IS NOT NULL)""",
     "exif",
 )
 def date_functions(r: Roles) -> DataFrame:
     d = F.col("date_taken")
-    return r.exif().where("date_taken is not null and substr(date_taken, 6, 2) = '02'").select(F.col("media_id").alias("id"), dates.day_folder(d).alias("day_folder"), dates.month_folder(d).alias("month_folder"), dates.parse(d).alias("parsed"))
+    return r.exif().where("date_taken is not null").select(F.col("media_id").alias("id"), dates.day_folder(d).alias("day_folder"), dates.month_folder(d).alias("month_folder"), dates.parse(d).alias("parsed"))
 
 
 @query("SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INTEGER) AS distance FROM hashes x JOIN hashes y ON y.id = x.id + 1", "hashes")
@@ -522,8 +524,8 @@ def hamming_neighbours(r: Roles) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, 'http://' || path AS url, CASE WHEN size >= 1024 THEN format('{:.1f} KB', size / 1024.0) ELSE size || ' B' END AS shown FROM paths WHERE size < 1048576""",
+    """SELECT page_id, 'http://' || path AS url, CASE WHEN size >= 1048576 THEN format('{:.1f} MB', size / 1048576.0) WHEN size >= 1024 THEN format('{:.1f} KB', size / 1024.0) ELSE size || ' B' END AS shown FROM paths""",
     "paths",
 )
 def text_functions(r: Roles) -> DataFrame:
-    return r.pages().where("size < 1048576").select("page_id", text.base_url(F.col("path")).alias("url"), text.human_size(F.col("size")).alias("shown"))
+    return r.pages().select("page_id", text.base_url(F.col("path")).alias("url"), text.human_size(F.col("size")).alias("shown"))
