@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import hashing
 from mediaframe.operators.components import connected_components
+from mediaframe.plans.storage import materialize
 
 FLOOR = 102_400  # bytes; files must be larger
 BUCKET_CAP = 500  # larger buckets are skipped: part of the result's definition
@@ -22,15 +23,54 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 def exact_groups(files: DataFrame, floor: int = FLOOR, size: str = "file_size", content: str = "content", key: str = "id") -> DataFrame:
     """group_id, id, size, is_preferred: members of groups with equal content.
 
-    Sizes that occur once drop out before any content is hashed, then quick hashes that occur once. A
-    group is named by its smallest member, which is the preferred one. Null content drops out.
+    Sizes that occur once drop out, then quick hashes that occur once, then full hashes. Contents are
+    hashed where they are read, so what the narrowing joins shuffle is hashes, never contents. A group
+    is named by its smallest member, which is the preferred one. Null content drops out.
     """
-    rows = files.where(F.col(content).isNotNull() & (F.col(size) > floor)).select(F.col(key).alias("id"), F.col(size).alias("size"), F.col(content).alias("content"))
-    some = _repeated(rows, "size")
-    quick = _repeated(some.withColumn("quick", hashing.quick_hash(F.col("content"))), "size", "quick")
-    full = quick.select("id", "size", "quick", hashing.full_hash(F.col("content")).alias("full"))
-    groups = full.groupBy("size", "quick", "full").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where("n > 1")
-    return full.join(groups, ["size", "quick", "full"]).select("group_id", "id", "size", (F.col("id") == F.col("group_id")).alias("is_preferred"))
+    above = files.where(F.col(content).isNotNull() & (F.col(size) > floor))
+    rows = above.select(F.col(key).alias("id"), F.col(size).alias("size"), hashing.quick_hash(F.col(content)).alias("quick"), hashing.full_hash(F.col(content)).alias("full"))
+    sizes = above.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n")).where("n > 1").select("size")  # reads the size column alone
+    return _groups(rows.join(sizes, "size", "left_semi"))
+
+
+def exact_groups_of_files(listing: DataFrame, floor: int = FLOOR, path: str = "file_path", size: str = "file_size") -> DataFrame:
+    """exact_groups of files on a file system that all executors share.
+
+    Only files whose size repeats are opened, for their first 4096 bytes, and only those whose first
+    bytes repeat as well are read through. Files that cannot be read drop out.
+    """
+    import hashlib
+
+    import pandas as pd
+
+    def hashed(name: str, most: int):
+        def go(batches):
+            for pdf in batches:
+                out = []
+                for p in pdf["id"]:
+                    try:
+                        with open(p, "rb") as f:
+                            digest, left = hashlib.sha256(), most
+                            while left and (chunk := f.read(min(left, hashing.BUFFER))):
+                                digest.update(chunk)
+                                left -= len(chunk)
+                        out.append(digest.hexdigest())
+                    except OSError:
+                        out.append(None)
+                yield pd.concat([pdf, pd.Series(out, name=name, index=pdf.index, dtype=object)], axis=1)
+
+        return go
+
+    rows = _repeated(listing.where(F.col(size) > floor).select(F.col(path).alias("id"), F.col(size).alias("size")), "size")
+    quick = materialize(rows.mapInPandas(hashed("quick", hashing.QUICK_BYTES), "id string, size long, quick string").where("quick is not null"), "quick")
+    some = _repeated(quick, "size", "quick")
+    full = materialize(some.mapInPandas(hashed("full", 1 << 62), "id string, size long, quick string, full string").where("full is not null"), "full")
+    return _groups(full)
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    groups = rows.groupBy("size", "quick", "full").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where("n > 1")
+    return rows.join(groups, ["size", "quick", "full"]).select("group_id", "id", "size", (F.col("id") == F.col("group_id")).alias("is_preferred"))
 
 
 def group_summary(members: DataFrame) -> DataFrame:

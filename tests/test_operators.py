@@ -45,6 +45,15 @@ def test_exact_floor(spark):
     assert sorted((r.group_id, r.id, r.is_preferred) for r in got) == [(3, 3, True), (3, 4, False)]
 
 
+def test_exact_files(spark, tmp_path):
+    bodies = {"a": b"x" * 5000 + b"1", "b": b"x" * 5000 + b"1", "c": b"x" * 5000 + b"2", "d": b"y" * 5001, "e": b"z"}
+    for n, b in bodies.items():
+        (tmp_path / n).write_bytes(b)
+    rows = [(str(tmp_path / n), len(b)) for n, b in bodies.items()] + [(str(tmp_path / "gone"), 5001)]
+    got = duplicates.exact_groups_of_files(spark.createDataFrame(rows, "file_path string, file_size long"), floor=1).collect()
+    assert sorted((os.path.basename(r.id), r.is_preferred) for r in got) == [("a", True), ("b", False)]
+
+
 @pytest.mark.parametrize(("n", "found"), [(500, True), (501, False)])
 def test_bucket_cap(spark, n, found):
     df = spark.range(n).select("id", F.lit(0).cast("long").alias("phash"))
