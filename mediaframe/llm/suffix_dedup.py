@@ -109,7 +109,7 @@ def repeated_seeds(docs: DataFrame, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, seeds: DataFrame, length: int) -> DataFrame:
     """node, key, run, anchor, first, last: the runs at repeated seeds; run is the name of all they span."""
     few = seeds.count() <= BROADCAST_KEYS
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.key for r in seeds.collect()], np.int64)) if few else None)
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(seeds.toArrow()["key"].to_numpy()) if few else None)
 
     def go(texts: list) -> tuple:
         out, known = [], held.value
