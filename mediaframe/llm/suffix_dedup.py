@@ -39,7 +39,7 @@ SEED = 32
 GRID = 16
 STRETCH = 1 << 22  # windows handled at once; positions within it fit the low bits of a packed minimum
 LOW = np.uint64((1 << 23) - 1)
-BROADCAST_KEYS = 1_000_000  # 8-byte names handed to every worker; beyond that they are joined instead
+BROADCAST_KEYS = 2_000_000  # 8-byte names handed to every worker; beyond that they are joined instead
 BROADCAST_IDS = 500_000
 
 
