@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs' columns of the mix, dealt out by shard and shuffled within each."""
     shards = max(SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = mix(docs, shards, seed)
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    return rows.repartitionById(shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__place").select(*docs.columns)
 
 
 def report(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLOCKS, weights: tuple = WEIGHTS) -> DataFrame:
