@@ -10,7 +10,8 @@ Texts that share a band of registers are candidates; links are the pairs whose s
 Jaccard similarity of at least 0.8, checked on the sets themselves. Equal texts are one node from the
 start. In a bucket every text is compared with the bucket's hub, the text that shares most buckets with
 most texts; a bucket that is then one component is done, so groups of thousands of copies never make all
-their pairs. The others are compared in blocks, across components only, all of them.
+their pairs. In the others all pairs across components are compared, in
+blocks of bounded size, and only links that connect something more leave a block.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased.
 
@@ -155,29 +156,44 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Likely pairs between the components that still meet in a bucket of more than two texts."""
+def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
+    """Links between the components that still meet in a bucket of more than two texts.
+
+    The members of such a bucket are dealt to blocks and every two blocks are compared in one task, sets
+    and all. A pair is compared where its first band meets, unless its ends are connected already, and of
+    the links only those that connect something more leave the task: fewer rows than texts in it.
+    """
     rows = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    rows = materialize(rows.join(split, "bucket").select("bucket", "node", "n", "label"), "unresolved")
-    rows = rows.join(distinct.select("node", "sig"), "node")
+    rows = materialize(rows.join(split, "bucket").select("bucket", "band", "node", "n", "label"), "unresolved")
+    wanted = distinct.join(rows.select("node").distinct(), "node", "left_semi")
+    facts = materialize(wanted.select("node", "sig").join(shingle_sets(docs, wanted.select("node", "doc_id")), "node"), "facts")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "label", "sig")
+    rows = rows.select("bucket", "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "label").join(facts, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        node, label, mine = (pdf[c].to_numpy() for c in ("node", "label", "mine"))
+        node, mine, sets = pdf["node"].to_numpy(), pdf["mine"].to_numpy(), pdf["shingles"].tolist()
+        size, band = np.array([len(s) for s in sets]), int(pdf["band"].iloc[0])
+        comp = pdf["label"].to_numpy().copy()  # changes as links are found
         left, right = np.flatnonzero(mine == pdf["p"].iloc[0]), np.flatnonzero(mine == pdf["q"].iloc[0])
-        a, b = [], []
+        found = []
         for i in left:
-            ok = right[(label[right] != label[i]) & ((sig[right] == sig[i]).sum(axis=1) >= LIKELY * sig.shape[1])]
-            a += [node[i]] * len(ok)
-            b += node[ok].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+            equal = sig[right] == sig[i]
+            met = equal.reshape(len(right), -1, ROWS).all(axis=2)
+            ok = ~met[:, :band].any(axis=1) & (equal.sum(axis=1) >= LIKELY * sig.shape[1])
+            ok &= np.minimum(size[right], size[i]) >= similar * np.maximum(size[right], size[i])
+            for j in right[ok]:
+                if comp[i] != comp[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= similar * (size[i] + size[j] - both):
+                        found.append((node[i], node[j]))
+                        comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    return materialize(rows.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long"), "cross-links")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -186,7 +202,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = materialize(signatures(docs), "signatures")
     distinct = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).where("sig is not null"), "distinct")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
-    dealt = distinct.select("node", F.explode(bands).alias("bucket"))
+    dealt = distinct.select("node", F.posexplode(bands).alias("band", "bucket"))
     sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = materialize(dealt.join(sizes, "bucket"), "members")
     release(sizes)
@@ -194,11 +210,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     pairs = materialize(hub_pairs(members), "pairs")
     links = verified(docs, pairs, distinct, similar)
     labels = connected_components(links)
-    more = materialize(cross_pairs(members, labels, distinct).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        extra = verified(docs, more, distinct, similar)
-        if extra.limit(1).count():
-            labels = connected_components(links.unionByName(extra))
+    extra = cross_links(docs, members, labels, distinct, similar)
+    if extra.limit(1).count():
+        labels = connected_components(links.unionByName(extra))
 
     # Texts without words keep to themselves: they have no node.
     named = signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("node")).alias("node")).join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
