@@ -78,7 +78,7 @@ def is_newer(latest: Column, current: Column) -> Column:
     return version_parts(latest) > version_parts(current)
 
 
-def sms_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
+def dms_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     """Signed degrees of degrees, minutes, seconds; south and west are negative; null without a reference."""
     x = d + m / 60 + s / 3600
     return F.when(F.upper(ref).isin("S", "W"), -x).when(ref.isNotNull(), x)

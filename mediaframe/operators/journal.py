@@ -15,7 +15,7 @@ def append(journal: DataFrame, operations: DataFrame, batch_id, order: list[str]
 
 
 def history(journal: DataFrame, batches: int = 50) -> DataFrame:
-    """batch_id, executed_at, n, sequences of the latest executed batches, newest first."""
+    """batch_id, executed_at, n of the latest executed batches, newest first."""
     rows = journal.where("status = 'executed'").groupBy("batch_id").agg(F.max("executed_at").alias("executed_at"), F.count("*").alias("n"))
     recent = rows.orderBy(F.desc("executed_at"), F.desc("batch_id")).limit(batches)
     return recent

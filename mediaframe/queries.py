@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.fixtures import Roles, sql
-from mediaframe.functions import dates, hashing, paths, text
+from mediaframe.functions import dates, hashing, paths, quality, text
 from mediaframe.operators import bursts, catalog, duplicates, folders, geo, ingest, journal, membership, organize, sync
+from mediaframe.plans.storage import shared_dir
+from mediaframe.sources import media as media_source
+from mediaframe.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -529,3 +532,162 @@ def hamming_neighbours(r: Roles) -> DataFrame:
 )
 def text_functions(r: Roles) -> DataFrame:
     return r.pages().select("page_id", text.base_url(F.col("path")).alias("url"), text.human_size(F.col("size")).alias("shown"))
+
+
+# ---- changes of state -------------------------------------------------------------------------
+
+
+@query("SELECT media_id, camera_model FROM exif WHERE media_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'Replaced' FROM labels WHERE toxic = 1", "exif")
+def exif_upsert(r: Roles) -> DataFrame:
+    new = r.table("labels").where("toxic = 1").select(F.col("doc_id").alias("media_id"), F.lit("Replaced").alias("camera_model"))
+    return membership.upsert(r.exif().select("media_id", "camera_model"), new, ["media_id"])
+
+
+@query("SELECT o_orderkey AS media_id, 'old' AS state FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderstatus <> 'F'")
+def ledger_insert_or_ignore(r: Roles) -> DataFrame:
+    o = r.table("orders").select(F.col("o_orderkey").alias("media_id"), "o_orderstatus")
+    old = o.where("o_orderstatus = 'F'").select("media_id", F.lit("old").alias("state"))
+    return membership.insert_or_ignore(old, o.select("media_id", F.lit("new").alias("state")), ["media_id"])
+
+
+@query("SELECT id, CASE WHEN quality IS NULL THEN width ELSE 1000 + quality END AS width, CASE WHEN quality IS NULL THEN 0 ELSE 1 END AS scan_phase FROM media LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) ON doc_id = id", "media")
+def enrich_files(r: Roles) -> DataFrame:
+    facts = r.table("labels").groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") + 1000).alias("width")).select("id", "width", F.lit(None).cast("int").alias("height"), F.lit(None).cast("string").alias("thumbnail"))
+    return membership.enrich(r.media().withColumn("thumbnail", F.lit(None).cast("string")), facts).select("id", "width", "scan_phase")
+
+
+@query("SELECT album_id AS group_id, media_id, CASE WHEN album_id = 3 THEN media_id = 20 ELSE sort_order = 0 END AS is_best FROM album_media", "album_media")
+def set_best_member(r: Roles) -> DataFrame:
+    members = r.album_media().select(F.col("album_id").alias("group_id"), "media_id", (F.col("sort_order") == 0).alias("is_best"))
+    return membership.set_exclusive(members, 3, 20, "is_best")
+
+
+PURGE = """
++ m AS (SELECT id FROM media WHERE file_path NOT LIKE '/lib/src1/%')
+SELECT 'media_files' AS name, count(*) AS n FROM m UNION ALL SELECT 'album_media', count(*) FROM album_media WHERE media_id NOT IN (SELECT id FROM media WHERE file_path LIKE '/lib/src1/%')
+UNION ALL SELECT 'nas_uploads', count(*) FROM uploads WHERE media_id NOT IN (SELECT id FROM media WHERE file_path LIKE '/lib/src1/%')
+"""
+
+
+@query(PURGE, "media", "album_media", "uploads")
+def purge_folder(r: Roles) -> DataFrame:
+    """Rows left in each table, and ledger rows that still name their file."""
+    left = membership.purge_folder({"media_files": r.media(), "album_media": r.album_media(), "nas_uploads": r.uploads()}, "/lib/src1")
+    left["nas_uploads"] = left["nas_uploads"].where("media_id is not null")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(f"SELECT g.group_id AS id, CASE WHEN count(d.doc_id) <= 1 THEN 'resolved' ELSE 'pending' END AS status FROM {EXACT} g LEFT JOIN (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) d ON md5(d.text) = g.k GROUP BY 1")
+def resolve_after_trash(r: Roles) -> DataFrame:
+    found = _exact(r)
+    tables = {"media_files": r.media(), "duplicate_members": found.select("group_id", F.col("id").alias("media_id")), "duplicate_groups": found.select(F.col("group_id").alias("id")).distinct().withColumn("status", F.lit("pending"))}
+    trashed = r.table("labels").select(F.col("doc_id").alias("media_id"), (F.col("quality") == 1).alias("ok"))
+    return membership.resolve_after_trash(tables, trashed)["duplicate_groups"]
+
+
+@query("SELECT album_id, min_by(media_id, sort_order * 1000000 + media_id) AS cover FROM album_media GROUP BY 1", "album_media")
+def album_covers(r: Roles) -> DataFrame:
+    filled = membership.fill_covers(r.albums().withColumn("cover_media_id", F.lit(None).cast("long")), r.album_media())
+    return filled.where("cover_media_id is not null").select(F.col("id").alias("album_id"), F.col("cover_media_id").alias("cover"))
+
+
+@query("SELECT DISTINCT album_id FROM album_media WHERE media_id = 12", "album_media")
+def albums_of_media(r: Roles) -> DataFrame:
+    albums = r.albums().withColumn("created_at", F.lit("2024"))
+    return membership.albums_of(r.album_media(), albums, 12).select("album_id").distinct()
+
+
+@query("SELECT batch_id, executed_at, string_agg(source_path, ',' ORDER BY sequence) AS paths FROM (SELECT *, max(executed_at) OVER (PARTITION BY batch_id) AS latest FROM journal) WHERE batch_id IN (SELECT batch_id FROM journal GROUP BY 1 ORDER BY max(executed_at) DESC, 1 DESC LIMIT 50) GROUP BY batch_id, latest".replace("SELECT batch_id, executed_at,", "SELECT batch_id, latest AS executed_at,"), "journal")
+def journal_entries(r: Roles) -> DataFrame:
+    return journal.history_entries(r.journal()).select("batch_id", "executed_at", F.array_join(F.transform("entries", lambda e: e["source_path"]), ",").alias("paths"))
+
+
+# ---- trees and scans --------------------------------------------------------------------------
+
+
+def _entries(r: Roles) -> DataFrame:
+    """Files of the media role and all their folders."""
+    files = r.media().select(F.col("file_path").alias("path"), F.lit(False).alias("is_dir"), F.col("file_size").alias("size"))
+    up = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+    return files.unionByName(up.select("path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size")))
+
+
+ENTRIES = """
++ d AS (SELECT DISTINCT array_to_string(string_split(file_path, '/')[1:i], '/') AS path FROM media, (SELECT unnest([2, 3, 4]) AS i)),
+v AS (SELECT file_path AS path FROM media WHERE contains(lower(file_name), '_1') AND lower(ext) IN ('mp4', 'mov'))
+"""
+
+
+@query(ENTRIES + "SELECT path FROM v UNION ALL SELECT path FROM d WHERE EXISTS (SELECT 1 FROM v WHERE starts_with(v.path, d.path || '/')) OR contains(lower(regexp_extract(path, '[^/]*$')), '_1')", "media")
+def tree_filter(r: Roles) -> DataFrame:
+    return folders.tree_filter(_entries(r), "_1", "video").select("path")
+
+
+@query(ENTRIES + "SELECT (SELECT count(*) FROM d) AS folders, count(*) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS size, CAST(0 AS BIGINT) AS images, count(*) AS videos FROM media WHERE file_path IN (SELECT path FROM v)", "media")
+def tree_stats(r: Roles) -> DataFrame:
+    e = _entries(r)
+    return folders.tree_stats(e, folders.tree_filter(e, "_1", "video"))
+
+
+@query("SELECT regexp_extract(path, '[^/]*$') AS name FROM (SELECT DISTINCT array_to_string(string_split(file_path, '/')[1:4], '/') AS path FROM media) WHERE starts_with(path, '/lib/src1/')", "media")
+def list_directory(r: Roles) -> DataFrame:
+    return folders.listing(_entries(r), "/lib/src1/").select("name")
+
+
+@query(f"SELECT regexp_extract({FOLDER}, '[^/]*$') AS label, {FOLDER} AS folder, count(*) AS total FROM media GROUP BY {FOLDER}", "media")
+def folder_group_tree(r: Roles) -> DataFrame:
+    """The leaves of the tree: their labels and totals."""
+    return folders.group_tree(catalog.by_folder(r.media())).where("children = 0").select("label", "folder", "total")
+
+
+@query("SELECT id, regexp_matches(file_path, '(^|/)2024-01-0[0-9]/') OR lower(ext) = 'gif' OR starts_with(file_name, 'IMG_7') AS excluded FROM (SELECT *, lower(ext) AS low FROM media WHERE ext <> 'GIF')", "media")
+def sync_exclusions(r: Roles) -> DataFrame:
+    return r.media().select("id", paths.excluded(F.col("file_path"), ["**/2024-01-0?/**", "*.gif", "IMG_7*"]).alias("excluded"))
+
+
+@query("SELECT id, NOT (regexp_matches(file_path, '/(private|[0-9]{8})/') OR regexp_matches(file_path, '/[^/]*-(01|02)/')) AS kept FROM media", "media")
+def scan_filter(r: Roles) -> DataFrame:
+    """A scan whose excluded folders are those named YYYYMMDD and those ending in -01 or -02."""
+    names = tuple(f"202401{d:02d}" for d in range(1, 29))
+    return r.media().select("id", media_source.scannable(F.col("file_path"), "", (*media_source.EXCLUDED_NAMES, *names), ("-01", "-02")).alias("kept"))
+
+
+# ---- streams and pixels -----------------------------------------------------------------------
+
+
+def _changes(events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), "create").when(F.col("event_type") == "click", "modify").when(F.col("event_type") == "error", "remove").otherwise("view")
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.array(F.col("user_id").cast("string")).alias("paths"))
+
+
+QUIET = """
+WITH e AS (SELECT * FROM events WHERE event_type <> 'view'),
+o AS (SELECT *, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) AS d FROM e),
+s AS (SELECT *, sum(CASE WHEN d <= 60000000 THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS g FROM o)
+SELECT min(ts) AS started, count(*) AS n, bool_or(event_type IN ('signup', 'purchase', 'click')) AS rescan FROM s GROUP BY g
+"""
+
+
+@query(QUIET)
+def quiet_batches(r: Roles) -> DataFrame:
+    return watch.quiet_batches(_changes(r.table("events")), "60 seconds").select(F.col("started").cast("timestamp_ntz").alias("started"), "n", "rescan")
+
+
+@query(None)
+def stream_quiet_gap(r: Roles) -> DataFrame:
+    """The same batches from a file stream; those still open when the stream ends are not among them."""
+    source, out, check = (shared_dir(r.spark, f"quiet-{x}") for x in ("changes", "batches", "checkpoint"))
+    _changes(r.table("events")).write.parquet(source)
+    done = watch.quiet_batches(watch.events(r.spark, source), "60 seconds")
+    watch.start(done, out, check).awaitTermination()
+    return r.spark.read.schema(done.schema).parquet(out)
+
+
+@query(None)
+def quality_scores(r: Roles) -> DataFrame:
+    """Sharpness, exposure and quick score of 8 x 8 pixels made of the embeddings."""
+    gray = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x * 255 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    rows = r.table("embeddings").select(F.col("vec_id").alias("id"), gray.alias("pixels"), F.lit(8).alias("width"))
+    rows = rows.select("id", quality.sharpness("pixels", "width").alias("sharp"), quality.exposure("pixels", "width").alias("exposed"))
+    return rows.select("id", "sharp", "exposed", quality.quick_score(quality.sharpness_score(F.col("sharp")), quality.exposure_score(F.col("exposed"))).alias("score"))

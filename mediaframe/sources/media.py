@@ -22,12 +22,12 @@ def scannable(path: Column, root: str = "", names: tuple[str, ...] = EXCLUDED_NA
     below = F.substr(path, F.lit(len(root.rstrip("/")) + 1)) if root else path
     parts = F.filter(F.split(below, "/"), lambda p: p != "")
     folders, name = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)
-    bad = F.exists(folders, lambda p: p.startswith(".") | p.isin(*names) | text_any(p, suffixes))
+    bad = F.exists(folders, lambda p: p.startswith(".") | p.isin(*names) | _ends_with_any(p, suffixes))
     hidden = name.startswith(".") | name.isin(*JUNK) | F.contains(path, F.lit("/.")) | F.contains(path, F.lit("__MACOSX"))
     return ~bad & ~hidden & paths.media_type(name).isNotNull()
 
 
-def text_any(x: Column, suffixes: tuple[str, ...]) -> Column:
+def _ends_with_any(x: Column, suffixes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for s in suffixes:
         out = out | x.endswith(s)
@@ -167,4 +167,4 @@ def read_exif(files: DataFrame, key: str = "path", content: str = "content") ->
 
 
 def gps_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
-    return text.sms_degrees(d, m, s, ref)
+    return text.dms_degrees(d, m, s, ref)
