@@ -37,7 +37,7 @@ class Encoder:
     many at a time, and its ids are cut where a word's last token ends.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import json
 
         import regex
@@ -71,16 +71,21 @@ class Encoder:
                 self.words.update((w, self.plain(w)) for w in part)
 
     def learn(self, stretches: list[str]) -> None:
-        odd = [s for s in stretches if any(x in s for x in self.special)]
-        rest = [s for s in stretches if s not in set(odd)] if odd else stretches
-        folded = self.tok.normalizer.normalize_str(" ".join(rest)).split(" ")
-        if len(folded) != len(rest):
-            odd, rest, folded = stretches, [], []
+        text, odd = " ".join(stretches), []
+        if any(x in text for x in self.special):
+            odd = [s for s in stretches if any(x in s for x in self.special)]
+            stretches = list(set(stretches).difference(odd))
+        plain = [s for s in stretches if s.isascii()]  # for ASCII the normalizer lower-cases and no more
+        other = [s for s in stretches if not s.isascii()]
+        folded = self.tok.normalizer.normalize_str(" ".join(other)).split(" ") if other else []
+        if len(folded) != len(other):
+            odd, other, folded = odd + other, [], []
         self.stretches.update((s, self.plain(s)) for s in odd)
-        cut = [self.word.findall(x) for x in folded]
+        folded = [s.lower() for s in plain] + folded
+        cut = [[x] if x.isalpha() else self.word.findall(x) for x in folded]
         self.learn_words(list({w for ws in cut for w in ws if w not in self.words}))
-        of = self.words.__getitem__
-        self.stretches.update((s, b"".join(map(of, ws))) for s, ws in zip(rest, cut, strict=True))
+        of = self.words
+        self.stretches.update((s, of[ws[0]] if len(ws) == 1 else b"".join(of[w] for w in ws)) for s, ws in zip(plain + other, cut, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.stretches) > self.most:
@@ -88,7 +93,7 @@ class Encoder:
         if len(self.words) > self.most:
             self.words.clear()
         cut = [[] if not t else [x for x in SPACE.split(t) if x] if PYTHON_ONLY.search(t) else t.split() for t in texts]
-        new = {s for ws in cut for s in ws}.difference(self.stretches)
+        new = set().union(*cut).difference(self.stretches)
         if new:
             self.learn(list(new))
         of = self.stretches.__getitem__
