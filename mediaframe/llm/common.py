@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mediaframe.plans.storage import materialize, release, shared_dir
 
-__all__ = ["configure", "held_out", "map_rows", "materialize", "read", "release", "shared_dir"]
+__all__ = ["KEPT", "configure", "held_out", "map_rows", "materialize", "nested", "read", "release", "shared_dir"]
 
 #: Rows per Arrow batch handed to Python: 256 texts of 120 KB stay near 30 MB.
 ARROW_ROWS = 256
@@ -31,11 +31,41 @@ def read(spark: SparkSession, sf_dir: str, table: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
-def map_rows(df: DataFrame, keep: Sequence[str], take: Sequence[str], fn: Callable, schema: str) -> DataFrame:
+#: Caches that Python workers keep between tasks, cleared as soon as a worker turns to something else.
+KEPT: list = []
+
+
+def let_go(but: object = None) -> None:
+    """Clear the worker's caches but one, and give the memory back to the system."""
+    held = [f for f in KEPT if f is not but and f.cache_info().currsize]
+    for f in held:
+        f.cache_clear()
+    if held:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU C library
+            pass
+
+
+def nested(counts, **columns):
+    """An Arrow list of structs: counts rows each, from flat columns; no Python object per row."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in columns.values()], names=list(columns)))
+
+
+def map_rows(df: DataFrame, keep: Sequence[str], take: Sequence[str], fn: Callable, schema: str, raw: Sequence[str] = (), kept: object = None) -> DataFrame:
     """Columns to keep as they are, then those that fn makes batch by batch from the taken ones.
 
-    fn gets a list of Python values per taken column and returns a list per column of schema. Kept
-    columns pass through Arrow untouched, so null and 64-bit keys stay exact.
+    fn gets a list of Python values per taken column, or for those in raw the Arrow array, and returns a
+    list or Arrow array per column of schema. Kept columns pass through Arrow untouched, so null and 64-bit
+    keys stay exact. kept: the cache of KEPT that fn uses.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -45,11 +75,13 @@ def map_rows(df: DataFrame, keep: Sequence[str], take: Sequence[str], fn: Callab
     kinds = [to_arrow_type(f.dataType) for f in made]
     names = [*keep, *made.names]
     n = len(keep)
+    plain = [name not in raw for name in take]
 
     def go(batches):
+        let_go(kept)
         for batch in batches:
-            out = fn(*(batch.column(n + i).to_pylist() for i in range(len(take))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
+            out = fn(*(batch.column(n + i).to_pylist() if p else batch.column(n + i) for i, p in enumerate(plain)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(x.cast(k) if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
-    kept = T.StructType([df.schema[k] for k in keep])
-    return df.select(*(F.col(k) for k in keep), *(F.col(k).alias(f"__take{i}") for i, k in enumerate(take))).mapInArrow(go, T.StructType(kept.fields + made.fields))
+    fields = T.StructType([df.schema[k] for k in keep])
+    return df.select(*(F.col(k) for k in keep), *(F.col(k).alias(f"__take{i}") for i, k in enumerate(take))).mapInArrow(go, T.StructType(fields.fields + made.fields))

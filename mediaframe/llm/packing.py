@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import map_rows, materialize, read
+from mediaframe.llm.common import KEPT, map_rows, materialize, read
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -37,7 +37,7 @@ class Encoder:
     many at a time, and its ids are cut where a word's last token ends.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         import json
 
         import regex
@@ -105,6 +105,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT.append(encoder)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -123,7 +126,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             out.append([{"piece": i, "start": i * capacity, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for i, x in enumerate(ids[a : a + 4 * capacity] for a in range(0, len(ids), 4 * capacity))])
         return (out,)
 
-    made = map_rows(docs, ["doc_id"], ["text"], go, "p array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+    made = map_rows(docs, ["doc_id"], ["text"], go, "p array<struct<piece: int, start: long, length: long, ids_crc32: long>>", kept=encoder)
     return made.select("doc_id", F.inline("p"))
 
 

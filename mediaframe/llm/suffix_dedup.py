@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import map_rows, materialize, read, release
+from mediaframe.llm.common import map_rows, materialize, nested, read, release
 from mediaframe.llm.near_dup import mix, powers
 
 LENGTH = 200
@@ -80,8 +80,16 @@ def runs(names: Names, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _signed(x: np.ndarray) -> list:
-    return x.view(np.int64).tolist()
+def _joined(parts: list, kind=np.int64) -> np.ndarray:
+    """Arrays one after the other, as signed numbers."""
+    return np.concatenate([np.asarray(x).view(kind) for x in parts]) if parts else np.zeros(0, kind)
+
+
+def _asked(rows, *columns: str) -> list[tuple]:
+    """The structs of each row's list as arrays, one per column."""
+    flat, ends = rows.values, rows.offsets.to_numpy()
+    got = [flat.field(c).to_numpy(zero_copy_only=False) for c in columns]
+    return [tuple(x[a:b] for x in got) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _raw(text: str | None) -> bytes:
@@ -100,9 +108,10 @@ def repeated_seeds(docs: DataFrame, length: int) -> DataFrame:
     """key: the seed names that anchor more than one run."""
 
     def go(texts: list) -> tuple:
-        return ([_signed(runs(Names(_raw(t)), length)[0]) for t in texts],)
+        found = [runs(Names(_raw(t)), length)[0] for t in texts]
+        return (nested([len(x) for x in found], key=_joined(found)),)
 
-    keys = map_rows(_texts(docs), [], ["text"], go, "keys array<long>").select(F.explode("keys").alias("key"))
+    keys = map_rows(_texts(docs), [], ["text"], go, "k array<struct<key: long>>").select(F.inline("k"))
     return materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seeds")
 
 
@@ -120,9 +129,9 @@ def repeated_runs(docs: DataFrame, seeds: DataFrame, length: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, key.view(np.int64)), len(known) - 1) if len(known) else None
                 ok = known[at] == key.view(np.int64) if at is not None else np.zeros(len(key), bool)
                 key, anchor, first, last = key[ok], anchor[ok], first[ok], last[ok]
-            whole = names.of(first, last - 1 + length) if len(key) else key
-            out.append([{"key": k, "run": r, "anchor": a, "first": f, "last": e} for k, r, a, f, e in zip(_signed(key), _signed(whole), anchor.tolist(), first.tolist(), last.tolist(), strict=True)])
-        return (out,)
+            out.append((key, names.of(first, last - 1 + length) if len(key) else key, anchor, first, last))
+        cols = [_joined([x[i] for x in out]) for i in range(5)]
+        return (nested([len(x[0]) for x in out], **dict(zip(("key", "run", "anchor", "first", "last"), cols, strict=True))),)
 
     made = map_rows(_texts(docs), ["node"], ["text"], go, "r array<struct<key: long, run: long, anchor: long, first: long, last: long>>").select("node", F.inline("r"))
     # copies of a text bring the same rows; one of each is enough, with its count
@@ -154,44 +163,39 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _blocks(docs: DataFrame, todo: DataFrame, length: int) -> DataFrame:
     """node, key, slot, core, run, first, last: grid blocks of the open runs, slots counted from the anchor."""
 
-    def go(texts: list, asked: list) -> tuple:
+    def go(texts: list, asked) -> tuple:
         out = []
-        for t, rows in zip(texts, asked, strict=True):
+        for t, (key, anchor, first, last) in zip(texts, _asked(asked, "key", "anchor", "first", "last"), strict=True):
             names = Names(_raw(t))
-            key, anchor, first, last = (np.array([r[c] for r in rows], np.int64) for c in ("key", "anchor", "first", "last"))
             lo, hi = (first - anchor) // GRID, (last - 1 - anchor) // GRID
             each = hi - lo + 1
-            i = np.repeat(np.arange(len(rows)), each)
+            i = np.repeat(np.arange(len(key)), each)
             slot = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + lo[i]
             start = anchor[i] + slot * GRID
-            core = names.of(start + GRID - 1, start + length)
             f, e = np.maximum(first[i], start), np.minimum(last[i], start + GRID)
-            run = names.of(f, e - 1 + length)
-            out.append([dict(zip(("key", "slot", "core", "run", "first", "last"), x, strict=True)) for x in zip(key[i].tolist(), slot.tolist(), _signed(core), _signed(run), f.tolist(), e.tolist(), strict=True)])
-        return (out,)
+            out.append((key[i], slot, names.of(start + GRID - 1, start + length), names.of(f, e - 1 + length), f, e))
+        cols = [_joined([x[i] for x in out]) for i in range(6)]
+        return (nested([len(x[0]) for x in out], **dict(zip(("key", "slot", "core", "run", "first", "last"), cols, strict=True))),)
 
     grouped = todo.groupBy("node").agg(F.collect_list(F.struct("key", "anchor", "first", "last")).alias("rows"))
-    made = map_rows(_with_text(docs, grouped), ["node"], ["text", "rows"], go, "b array<struct<key: long, slot: long, core: long, run: long, first: long, last: long>>")
+    made = map_rows(_with_text(docs, grouped), ["node"], ["text", "rows"], go, "b array<struct<key: long, slot: long, core: long, run: long, first: long, last: long>>", raw=["rows"])
     return materialize(made.select("node", F.inline("b")), "blocks")
 
 
 def _windows(docs: DataFrame, todo: DataFrame, length: int) -> DataFrame:
     """node, name, first: a row per window of the open blocks."""
 
-    def go(texts: list, asked: list) -> tuple:
+    def go(texts: list, asked) -> tuple:
         out = []
-        for t, rows in zip(texts, asked, strict=True):
-            first, last = (np.array([r[c] for r in rows], np.int64) for c in ("first", "last"))
+        for t, (key, first, last) in zip(texts, _asked(asked, "key", "first", "last"), strict=True):
             each = last - first
             at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
-            name = Names(_raw(t)).of(at, at + length)
             # the seed is part of the name, so that both hashes must agree
-            name ^= mix(np.repeat(np.array([r["key"] for r in rows], np.int64), each).view(np.uint64))
-            out.append([{"name": x, "first": a} for x, a in zip(_signed(name), at.tolist(), strict=True)])
-        return (out,)
+            out.append((Names(_raw(t)).of(at, at + length) ^ mix(np.repeat(key, each).view(np.uint64)), at))
+        return (nested([len(x[1]) for x in out], name=_joined([x[0] for x in out]), first=_joined([x[1] for x in out])),)
 
     grouped = todo.groupBy("node").agg(F.collect_list(F.struct("key", "first", "last")).alias("rows"))
-    made = map_rows(_with_text(docs, grouped), ["node"], ["text", "rows"], go, "w array<struct<name: long, first: long>>")
+    made = map_rows(_with_text(docs, grouped), ["node"], ["text", "rows"], go, "w array<struct<name: long, first: long>>", raw=["rows"])
     return materialize(made.select("node", F.inline("w")), "windows")
 
 
