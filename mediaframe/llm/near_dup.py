@@ -1,10 +1,11 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification, components.
 
-A text's shingles are runs of five words (all words, if fewer), weighted 1 + ln(count). Each shingle
-is a Poisson process of that rate whose arrivals fall on random registers; a register keeps the shingle
-that arrives first. Arrivals are drawn round by round for a whole batch of texts, and a shingle stops
-once its next arrival is later than every register of its text, which is the early termination. The
-chance that two texts agree in a register is the probability Jaccard similarity of their weights.
+A text's shingles are runs of five words (all words, if fewer), each of weight 1 however often it occurs.
+Each shingle is a Poisson process of that rate whose arrivals fall on random registers; a register keeps
+the shingle that arrives first. Arrivals are drawn round by round for a whole batch of texts, and a shingle
+stops once its next arrival is later than every register of its text, which is the early termination. The
+chance that two texts agree in a register is the probability Jaccard similarity of their weights, which for
+equal weights is the Jaccard similarity of the sets that links are verified by.
 
 Texts that share a band of registers are candidates; links are the pairs whose shingle sets have a
 Jaccard similarity of at least 0.8, checked on the sets themselves. Equal texts are one node from the
@@ -108,11 +109,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, node, sig: the registers of each text; null for texts without words."""
 
     def go(texts: list) -> tuple:
-        sets = [np.unique(shingles(t), return_counts=True) for t in texts]
-        sizes = np.array([len(s) for s, _ in sets], np.int64)
+        sets = [np.unique(shingles(t)) for t in texts]
+        sizes = np.array([len(s) for s in sets], np.int64)
         if not sizes.sum():
             return ([None] * len(texts),)
-        held = prob_minhash(np.concatenate([s for s, _ in sets]), 1 + np.log(np.concatenate([c for _, c in sets])), np.repeat(np.arange(len(texts)), sizes), len(texts))
+        held = prob_minhash(np.concatenate(sets), np.ones(sizes.sum()), np.repeat(np.arange(len(texts)), sizes), len(texts))
         return ([row.tobytes() if n else None for row, n in zip(held, sizes, strict=True)],)
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))

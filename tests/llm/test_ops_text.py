@@ -148,6 +148,19 @@ def test_near_dup_dense_groups(spark, monkeypatch):
     assert got == expected_classes(list(range(len(texts))), texts)
 
 
+def test_near_dup_repeated_lines(spark):
+    """Near copies of which one repeats a line hundreds of times are links of the sets all the same."""
+    rng, texts = random.Random(5), []
+    for i in range(60):
+        base = [f"w{i}x{rng.randrange(10**6)}" for _ in range(104)]
+        line = [f"r{i}x{j}" for j in range(20)]
+        texts += [" ".join(base), " ".join(base + line * rng.choice([100, 200, 400]))]
+    expected = expected_classes(list(range(120)), texts)
+    assert all(expected[i + 1] == i for i in range(0, 120, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == expected
+
+
 def test_near_dup_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "two words", 3), (4, "Two, WORDS!", 4), (5, "...", 5), (None, "two words", 6), (7, "two words", 7), (3, "two words", 8)], "doc_id long, text string, node int")
     rows = [(r.doc_id, r.class_id, r.class_size) for r in near_dup.classes(df).collect()]
