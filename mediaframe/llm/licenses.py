@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, native expressions only.
 
 A text becomes its lower-case words joined by single spaces. Hundreds of rules, each a regex over that
-form with a keyword, a priority and a label, are gated in two steps: which keywords occur at all, then
-the regexes of their rules. Detections are word intervals. One contained in another of the same or a
+form with keywords, a priority and a label, are gated in two steps: which keywords occur at all, then
+the regexes of their rules. Whatever a rule can match holds one of its keywords, so the gate loses nothing. Detections are word intervals. One contained in another of the same or a
 higher priority is suppressed; of equal ones the rule that stands first stays. Everything is an
 expression on the row, so there is no shuffle and no Python, and a document is never split.
 
@@ -26,7 +26,7 @@ MARK = "\x01"  # cannot occur in a word
 # The phrases every scan finds, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Families: label, keyword that gates it, regex of the name, regexes of what may follow a name as its version.
+# Families: label, keyword or keywords that gate it (one for each alternative), regex of the name, regexes of what may follow a name as its version.
 FAMILIES = (
     ("gpl-1.0", " gpl", "(?:gnu )?gpl", "(?:v|version )?1(?: 0)?"),
     ("gpl-2.0", " gpl", "(?:gnu )?gpl", "(?:v|version )?2(?: 0)?"),
@@ -48,12 +48,12 @@ FAMILIES = (
     ("eupl", " eupl", "eupl", "(?:v|version )?1 [012]"),
     ("cddl", " common development", "common development and distribution licen[sc]e", "(?:v|version )?1 [01]"),
     ("cpl", " common public", "common public licen[sc]e", "(?:v|version )?1 0"),
-    ("bsd-2-clause", " bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "licen[sc]e"),
+    ("bsd-2-clause", (" bsd", " freebsd"), "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "licen[sc]e"),
     ("bsd-3-clause", " bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "licen[sc]e"),
     ("bsd-4-clause", " bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "licen[sc]e"),
     ("bsd", " bsd", "bsd(?: style)?", "licen[sc]e"),
-    ("mit", " mit ", "(?:mit|expat)(?: style)?", "licen[sc]e"),
-    ("isc", " isc ", "isc", "licen[sc]e"),
+    ("mit", (" mit ", " mitlicen", " expat"), "(?:mit|expat)(?: style)?", "licen[sc]e"),
+    ("isc", (" isc ", " isclicen"), "isc", "licen[sc]e"),
     ("zlib", " zlib", "zlib(?: libpng)?", "licen[sc]e"),
     ("boost", " boost", "boost software licen[sc]e", "(?:v|version )?1 0"),
     ("artistic", " artistic", "(?:perl )?artistic licen[sc]e", "(?:v|version )?[12] 0"),
@@ -100,14 +100,14 @@ SINGLES = (
     ("unspecified-license", " licen", 1, "(?:see|read) (?:the )?licen[sc]e(?: file)?"),
 )
 CONFIDENCE = {1: 0.6, 2: 0.8, 3: 0.95}
-RULE = "array<struct<ord: int, priority: int, keyword: string, label: string, pattern: string>>"
+RULE = "array<struct<ord: int, priority: int, keywords: array<string>, label: string, pattern: string>>"
 
 
 def rules() -> list[dict]:
     """All rules in order: each family in each form, then the single ones."""
     flat = [(p, keyword, label, form.format(name=name, version=f"(?:{version})")) for label, keyword, name, version in FAMILIES for p, form in FORMS]
     flat += [(p, keyword, label, pattern) for label, keyword, p, pattern in SINGLES]
-    return [{"ord": i, "priority": p, "keyword": k, "label": label, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"} for i, (p, k, label, pattern) in enumerate(flat)]
+    return [{"ord": i, "priority": p, "keywords": [k] if isinstance(k, str) else list(k), "label": label, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"} for i, (p, k, label, pattern) in enumerate(flat)]
 
 
 def words(text: Column) -> Column:
@@ -156,12 +156,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and the kept detections."""
     made = rules()
     table = F.from_json(F.lit(json.dumps(made)), RULE)
-    keywords = F.array(*(F.lit(k) for k in sorted({r["keyword"] for r in made})))
+    keywords = F.array(*(F.lit(k) for k in sorted({k for r in made for k in r["keywords"]})))
     # keywords are word beginnings, except those that end in a space
     df = docs.withColumn("__w", words(F.col(text))).withColumn("__p", F.concat(F.lit(" "), F.col("__w"), F.lit(" ")))
     base = [F.when(F.contains("__p", F.lit(f" {phrase} ")), starts(F.col("__w"), F.lit(f"(?<![^ ]){phrase}(?![^ ])"))).otherwise(F.array().cast("array<int>")) for phrase, _ in BASE]
     df = df.withColumn("__base", F.array(*base)).withColumn("__keys", F.filter(keywords, lambda k: F.contains(F.col("__p"), k)))
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(F.col("__keys"), r["keyword"])), lambda r: detections(F.col("__w"), r)))
+    found = F.flatten(F.transform(F.filter(table, lambda r: F.arrays_overlap(F.col("__keys"), r["keywords"])), lambda r: detections(F.col("__w"), r)))
     df = df.withColumn("detections", F.when(F.size("__keys") > 0, suppress(found)).otherwise(F.array().cast("array<struct<start: int, minus_end: int, minus_priority: int, ord: int, label: string>>")))
     places = F.flatten("__base")
     base_labels = reduce(F.array_union, [F.when(F.size(F.col("__base")[i]) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, (_, label) in enumerate(BASE)])

@@ -206,6 +206,42 @@ def test_licenses_rules_and_suppression(spark):
     assert [x.label for x in inner.select(licenses.suppress(F.col("d")).alias("k")).first().k] == ["a", "c", "e"]
 
 
+def drawn(pattern, rng):
+    """A random text that the pattern matches."""
+    from re import _constants as c
+    from re import _parser
+
+    def part(op, arg):
+        if op is c.LITERAL:
+            return chr(arg)
+        if op is c.IN:
+            return part(*rng.choice(arg))
+        if op is c.RANGE:
+            return chr(rng.randint(*arg))
+        if op is c.BRANCH:
+            return run(rng.choice(arg[1]))
+        if op is c.SUBPATTERN:
+            return run(arg[3])
+        if op is c.MAX_REPEAT:
+            return "".join(run(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        assert op is c.ASSERT_NOT
+        return ""
+
+    run = lambda items: "".join(part(*x) for x in items)
+    return run(_parser.parse(pattern))
+
+
+def test_licenses_gate_loses_nothing(spark, monkeypatch):
+    rng, made = random.Random(6), licenses.rules()
+    texts = ["released under the expat license", "the freebsd license", "spdx license identifier mitlicense", "isclicense"]
+    texts += sorted({drawn(r["pattern"], rng) for r in made for _ in range(40)})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    gated = {r.doc_id: (r.labels, r.score, r.detections) for r in licenses.scan(df).collect()}
+    assert all(gated[i][0] for i in range(len(texts)))
+    monkeypatch.setattr(licenses, "rules", lambda: [{k: [" "] if k.startswith("keyword") else v for k, v in r.items()} for r in made])
+    assert gated == {r.doc_id: (r.labels, r.score, r.detections) for r in licenses.scan(df).collect()}
+
+
 # ---- packing ----------------------------------------------------------------------------------
 
 
