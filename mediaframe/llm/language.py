@@ -3,8 +3,10 @@
 Each language keeps a suffix automaton of some labelled text. A document is parsed greedily against
 it: a phrase is the longest match from where the last one ended. The language whose text explains the
 document with the fewest phrases wins, phrases being normalised to bits per character by the log of
-the labelled text's length. The automata are turned into dense tables, and whole batches of texts
-walk all of them at once, one character a step.
+the labelled text's length. Every character of the labelled text is a class of its own; one that a
+language does not know is a phrase by itself. The automata are turned into a table, dense for the most
+frequent characters and sorted keys for all others, and whole batches of texts walk all of them at once,
+one character a step.
 
 The labelled text is a bounded sample: for each language and each of ``buckets`` hash buckets, a window
 of ``window`` characters from the row with the smallest hash; with many languages, as much less of
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from mediaframe.llm.common import held_out, map_rows, read
 
 UND = "und"
-CLASSES = 128
+DENSE = 128  # classes with a column in the dense table; the transitions of all others are looked up by key
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -62,7 +64,7 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Tables of all languages: entry = 2 * next state + whether a phrase ended before the character."""
+    """Tables of all languages: entry = 2 * next state + whether the character starts a phrase."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -70,29 +72,46 @@ class Model:
         for text in samples.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 1]
+        known = sorted(counts, key=lambda c: (-counts[c], c))
         self.of = np.zeros(0x110000, np.int32)
-        for i, c in enumerate(common):
+        for i, c in enumerate(known):
             self.of[ord(c)] = i + 1
-        self.width = len(common) + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
+        self.classes_in_all = len(known) + 1
+        self.width = min(self.classes_in_all, DENSE)
+        tables, firsts, keys, entries, self.roots, self.bits, base = [], [], [], [], [], [], 0
         for lang in self.langs:
             trans = automaton(self.classes(samples[lang]).tolist())
             table = np.full((len(trans), self.width), -1, np.int64)
-            for state, out in enumerate(trans):
+            first = np.full(self.classes_in_all, 2 * base + 1, np.int64)  # where a character leads that starts a phrase
+            for c, to in trans[0].items():
+                first[c] = 2 * (to + base) + 1
+            for state, out in enumerate(trans[1:], 1):
                 for c, to in out.items():
-                    table[state, c] = 2 * (to + base)
-            table[:, 0] = -1  # characters that no language knows end every phrase
-            root = np.where(table[0] < 0, 2 * base, table[0])
-            tables.append(np.where(table < 0, root | 1, table).astype(np.int32))
+                    if c < self.width:
+                        table[state, c] = 2 * (to + base)
+                    else:
+                        keys.append((state + base) * self.classes_in_all + c)
+                        entries.append(2 * (to + base))
+            # no state leads to the root, which so stands for being between phrases
+            tables.append(np.where(table < 0, first[: self.width], table).astype(np.int32))
+            firsts.append(first.astype(np.int32))
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(samples[lang]))))
             base += len(trans)
         self.table = np.concatenate(tables).ravel()
+        self.first = np.stack(firsts)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.entries = np.array(keys, np.int64)[order], np.array(entries, np.int32)[order]
 
     def classes(self, text: str) -> np.ndarray:
         return self.of[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
+    def rare(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Entries of states (languages x texts) for characters outside the dense table."""
+        wanted = state.astype(np.int64) * self.classes_in_all + c
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1) if len(self.keys) else None
+        return self.first[:, c] if at is None else np.where(self.keys[at] == wanted, self.entries[at], self.first[:, c])
+
     def costs(self, texts: list[str], stretch: int) -> np.ndarray:
         """Bits per character of each non-empty text under each language."""
         coded = [self.classes(t) for t in texts]
@@ -105,10 +124,14 @@ class Model:
         grid = np.ascontiguousarray(grid.T)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # stretches longer than each step
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(parts), axis=1)
-        phrases = np.ones(state.shape, np.int32)
+        phrases = np.zeros(state.shape, np.int32)
         for step in range(sizes[0]):
             n = live[step]
-            entry = self.table.take(state[:, :n] * self.width + grid[step, :n])
+            c = grid[step, :n]
+            far = np.flatnonzero(c >= self.width)
+            entry = self.table.take(state[:, :n] * self.width + np.where(c < self.width, c, 0))
+            if len(far):
+                entry[:, far] = self.rare(state[:, far], c[far])
             phrases[:, :n] += entry & 1
             state[:, :n] = entry >> 1
         owner = np.array([p[0] for p in parts])

@@ -71,6 +71,29 @@ def test_phrases_are_longest_matches():
         assert abs(got - n) <= 1 + unknown_first + sum(c not in train for c in text)
 
 
+def test_more_letters_than_the_dense_table():
+    """Languages of hundreds of letters each: exact phrases, and their own texts are told apart."""
+    rng, samples, texts = random.Random(7), {}, []
+    letters = [chr(0x4E00 + i) for i in range(600)] + [chr(0xAC00 + i) for i in range(400)]
+    for k, lang in enumerate("abc"):
+        words = ["".join(rng.choices(letters[200 * k : 200 * k + 600], k=rng.randint(1, 4))) for _ in range(400)]
+        samples[lang] = " ".join(rng.choices(words, k=1500))[:3500]
+        texts += [" ".join(rng.choices(words, k=100)) + "?" for _ in range(10)]
+    model = language.Model(samples)
+    assert len(set("".join(samples.values()))) > 500
+    cost = model.costs(texts, 2048)
+    assert cost.argmin(axis=1).tolist() == [0] * 10 + [1] * 10 + [2] * 10
+    for text, row in zip(texts, cost, strict=True):
+        for k, lang in enumerate(model.langs):
+            n, at = 0, 0
+            while at < len(text):
+                end = at + 1
+                while end < len(text) and text[at : end + 1] in samples[lang]:
+                    end += 1
+                n, at = n + 1, end
+            assert round(row[k] * len(text) / model.bits[k]) == n
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "lang")
     rows = language.op9_language_cross_parsing(spark, SF2).join(docs, "doc_id").where("held_out").collect()
