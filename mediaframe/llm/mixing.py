@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Every source is cut into hash blocks and permuted. Its target says how many words the mix takes:
-whole passes over its blocks, then blocks of the permuted order as far as they fit and one more that
-fits the gap best. The numbers of blocks so drawn are exact quotas. A tree splits
+whole passes over its blocks, then every block of the permuted order that fits what is left when its
+turn comes, and one more that fits the gap best. The numbers of blocks so drawn are exact quotas. A tree splits
 them among the output shards: at each node the left half's share of every source is one draw from the
 multivariate hypergeometric distribution of what the node holds. Shards then take disjoint runs of
 each source's permuted blocks, and shuffle their rows by a hash of their own.
@@ -20,8 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mediaframe.llm.common import materialize, read
+from mediaframe.llm.common import let_go, materialize, read
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -72,6 +73,29 @@ def _coded(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
+def fitted(rows: DataFrame) -> DataFrame:
+    """rows with whole: whether a block (words) still fits into its source's rest when the order comes to it.
+
+    What is left shrinks only, so a block that was passed over would not fit at the end either.
+    """
+    import pyarrow as pa
+
+    def go(batches):
+        let_go()
+        source, taken = None, 0
+        for batch in batches:
+            whole = []
+            for k, words, rest in zip(*(batch.column(c).to_pylist() for c in ("k", "words", "rest")), strict=True):
+                if k != source:
+                    source, taken = k, 0
+                fits = taken + words <= rest
+                taken += words if fits else 0
+                whole.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.bool_())], names=[*batch.schema.names, "whole"])
+
+    return rows.repartition("k").sortWithinPartitions("k", "order", "block").mapInArrow(go, T.StructType([*rows.schema.fields, T.StructField("whole", T.BooleanType())]))
+
+
 def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLOCKS, weights: tuple = WEIGHTS) -> tuple[DataFrame, bool]:
     """(k, block) -> source_size, target and the draws of the block; whether it is small enough to broadcast."""
     spark = docs.sparkSession
@@ -85,9 +109,8 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLO
     rest = [t - p * s for (_, s, _), t, p in zip(sources, goals, passes, strict=True)]
     facts = spark.createDataFrame([(k, s, float(t), p, float(r), n) for (k, s, n), t, p, r in zip(sources, goals, passes, rest, strict=True)] or [("", 0, 0.0, 0, 0.0, 0)], "k string, source_size long, target double, passes int, rest double, n_blocks long")
 
-    # The partial pass: whole blocks in permuted order as far as they fit, then the one that fits the gap best.
-    permuted = W.partitionBy("k").orderBy(F.xxhash64(F.lit(seed), F.col("passes"), "k", "block"), "block")
-    placed = table.join(facts, "k").withColumn("through", F.sum("words").over(permuted)).withColumn("whole", F.col("through") <= F.col("rest"))
+    # The partial pass: blocks in permuted order wherever they fit, then the one that fits the gap best.
+    placed = fitted(table.join(facts, "k").withColumn("order", F.xxhash64(F.lit(seed), F.col("passes"), "k", "block")))
     gap = F.col("rest") - F.sum(F.when(F.col("whole"), F.col("words")).otherwise(0)).over(W.partitionBy("k"))
     miss = F.when(~F.col("whole") & (F.col("words") > 0) & (F.abs(F.col("gap") - F.col("words")) < F.col("gap")), F.abs(F.col("gap") - F.col("words")))
     closing = (F.row_number().over(W.partitionBy("k").orderBy(F.asc_nulls_last("miss"), "block")) == 1) & F.col("miss").isNotNull()

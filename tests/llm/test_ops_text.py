@@ -350,6 +350,20 @@ def test_mixing(spark):
     assert mixed.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(taken.values())
 
 
+def test_mixing_with_a_dominant_document(spark):
+    """A document too long for what is left is passed over, wherever the order puts it."""
+    rows = [(1000 * s, "w " * 1000, f"s{s:02d}") for s in range(12)]
+    rows += [(1000 * s + i, "w " * 10, f"s{s:02d}") for s in range(12) for i in range(1, 101)]
+    rows += [(12_000 + i, "w " * 100, "s12") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, goal = Counter(), {}
+    for r in mixing.report(docs, weights=(1,) * 12 + (400,)).collect():
+        taken[r.doc_id // 1000] += r.taken
+        goal[r.doc_id // 1000] = r.target
+    assert all(goal[s] < 1000 for s in range(12))
+    assert all(abs(taken[s] - goal[s]) <= 0.03 * goal[s] for s in goal)
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, "a b", "s", 5), (1, "a b", "s", 5), (2, None, "s", 1), (3, "c d e", None, 2), (4, "x", "\U0001f600", 3), (None, "", "e", 4)], "doc_id long, text string, source string, size int")
     rows = {(r.doc_id, r["size"], r.source_size) for r in mixing.report(df).collect()}
