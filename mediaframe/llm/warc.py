@@ -70,6 +70,11 @@ def _line(name: str, value: Column) -> Column:
 
 def write_archives(df: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """A WARC record per row below path; longer blocks are cut into segments."""
+    records(df, key, payload, url, min_bytes, segment_bytes).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+
+
+def records(df: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """value: the WARC records, a row each."""
     plan = plan_records(df, key, payload, url, min_bytes)
     rid = F.concat(F.lit(URN), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(":"), F.col("n").cast("string"))
     origin = F.concat(F.lit(URN), F.coalesce(F.col("response").cast("string"), F.lit("null")), F.lit(":1"))
@@ -91,17 +96,20 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", payload: str
     wanted = plan.where("not revisit").withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit("null"))).drop("key")
     once = full.withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit("null"))).join(wanted, ["k", "digest"])
     once = once.dropDuplicates(["k", "digest", "n"])
-    block = F.concat(http.cast("binary"), F.col("body"))
     cut = once.withColumn("total", F.octet_length(http) + F.col("bytes")).withColumn("seg", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("total") / segment_bytes).cast("int")))))
-    piece = F.substring(block, (F.col("seg") - 1) * segment_bytes + 1, F.lit(segment_bytes))
+    # A segment takes its bytes from the header and the body directly: the two are never put together whole.
+    before, head = ((F.col("seg") - 1) * segment_bytes).cast("int"), F.octet_length(http)
+    begin, end = F.greatest(before - head, F.lit(0)), F.greatest(before + segment_bytes - head, F.lit(0))
+    piece = F.concat(F.substring(http.cast("binary"), before + 1, F.lit(segment_bytes)), F.substring(F.col("body"), begin + 1, end - begin))
+    size = F.least(F.lit(segment_bytes).cast("long"), F.col("total") - before)
     several, last = F.col("total") > segment_bytes, F.col("seg") * segment_bytes >= F.col("total")
     numbered = F.when(several, _line("WARC-Segment-Number", F.col("seg").cast("string")))
     summed = F.when(several & last, _line("WARC-Segment-Total-Length", F.col("total").cast("string")))
     first = _head(F.lit("response"), rid, target, digest, numbered, summed, content)
     later = _head(F.lit("continuation"), F.concat(rid, F.lit(":"), F.col("seg").cast("string")), _line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), rid, F.lit(">"))), numbered, summed)
-    sized = _line("Content-Length", F.octet_length(piece).cast("string"))
+    sized = _line("Content-Length", size.cast("string"))
     responses = cut.select(F.concat(F.when(F.col("seg") == 1, first).otherwise(later).cast("binary"), sized.cast("binary"), F.lit(CRLF).cast("binary"), piece).cast("string").alias("value"))
-    responses.unionByName(revisits).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    return responses.unionByName(revisits)
 
 
 # ---- reading ----------------------------------------------------------------------------------

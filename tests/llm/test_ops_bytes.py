@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -82,6 +83,22 @@ def test_warc_segments_and_revisits(spark):
     assert far.count() == 8
 
 
+def test_warc_segments_are_cut_from_the_body(spark):
+    """No expression puts header and whole body together; the segments do so bit by bit."""
+    body = "".join(chr(97 + i % 26) for i in range(1000))
+    df = spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string")
+    for size in (50, 333, 1 << 20):
+        made = warc.records(df, segment_bytes=size)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "substring(concat(" not in plan and "substring(body" in plan
+        rows = [r.value.split("\r\n\r\n", 1) for r in made.collect()]
+        number = lambda head: int(re.search(r"WARC-Segment-Number: (\d+)|$", head)[1] or 1)
+        parts = [(number(h), re.search(r"Content-Length: (\d+)$", h)[1], b) for h, b in rows]
+        assert all(int(n) == len(b) <= size for _, n, b in parts)
+        block = "".join(b for _, _, b in sorted(parts))
+        assert block == f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 1000\r\n\r\n{body}"
+
+
 def test_warc_empty_table(spark):
     path = shared_dir(spark, "warc-empty")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
