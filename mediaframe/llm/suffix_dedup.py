@@ -1,12 +1,12 @@
-"""Removal of repeated passages: distributed prefix doubling over content-chosen positions.
+"""Removal of repeated passages: counts of fingerprints at content-chosen positions.
 
 A byte goes if a string of ``length`` bytes that covers it also starts somewhere else. Ranking every
-byte position by doubling prefixes would sort each of them in each round. Here doubling starts where
-the content itself chooses: the anchor of a window of ``length`` bytes is its ``SEED``-byte string with
+byte position by doubling prefixes would sort each of them in each round. This is not prefix doubling
+but takes its place: it looks where the content itself chooses: the anchor of a window of ``length`` bytes is its ``SEED``-byte string with
 the smallest hash (the leftmost of equal ones), so equal windows have equal anchors at equal distance, and
-neighbouring windows mostly share theirs. The ranks are names, 64-bit fingerprints of the prefix so far:
-a longer prefix's name is made of shorter ones on the spot, and what Spark shuffles and sorts is only
-(name, position) pairs, to see which names occur again. Each round looks at longer strings and drops
+neighbouring windows mostly share theirs. Strings are named by 64-bit fingerprints, made on the spot from
+prefix sums of the text, and what Spark shuffles is only names and positions, to count which names occur
+again. Each round looks at longer strings and drops
 positions whose name is unique, or whose whole stretch is known to repeat:
 
 1. names of the seeds at the anchors: unique seed, no window of its run repeats;
