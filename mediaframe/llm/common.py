@@ -57,7 +57,7 @@ def nested(counts, **columns):
     import pyarrow as pa
 
     ends = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in columns.values()], names=list(columns)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns)))
 
 
 def map_rows(df: DataFrame, keep: Sequence[str], take: Sequence[str], fn: Callable, schema: str, raw: Sequence[str] = (), kept: object = None) -> DataFrame:

@@ -151,6 +151,37 @@ def test_suffix_dedup_brute_force(spark, monkeypatch, broadcast):
     assert got == brute([(t or "").encode() for t in texts], 200)
 
 
+def test_suffix_dedup_survives_colliding_hashes(spark, monkeypatch):
+    """Names of 4 bits: the prefilter lets nearly everything through, the bytes decide."""
+    of = suffix_dedup.Names.of
+    monkeypatch.setattr(suffix_dedup.Names, "of", lambda self, start, end: of(self, start, end) & np.uint64(0xF << 60))
+    texts = hard_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(r)[1:] for r in suffix_dedup.report(df).orderBy("doc_id").collect()]
+    assert got == brute([(t or "").encode() for t in texts], 200)
+
+
+@pytest.mark.parametrize("length", [35, 100, 300])
+def test_suffix_dedup_other_lengths(spark, length):
+    rng = random.Random(length)
+    base = ["".join(rng.choice("abcd ") for _ in range(4 * length)) for _ in range(4)]
+    texts = ["ab" * length, "y" * (length - 1), "y" * length, None]
+    for k in range(60):
+        a, b = rng.sample(base, 2)
+        i, j = rng.randint(0, 3 * length), rng.randint(0, 3 * length)
+        texts.append(a[i : i + rng.randint(length // 2, 3 * length)] + str(k) + b[j : j + rng.randint(length // 2, 2 * length)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r)[1:] for r in suffix_dedup.report(df, length).orderBy("doc_id").collect()]
+    assert got == brute([(t or "").encode() for t in texts], length)
+
+
+def test_suffix_dedup_empty_and_wrong_length(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_dedup.report(df).collect() == []
+    with pytest.raises(ValueError):
+        suffix_dedup.report(df, 201)
+
+
 def test_suffix_dedup_stretches(monkeypatch):
     raw = ("".join(random.Random(5).choice("ab") for _ in range(3000)) * 2).encode()
     whole = suffix_dedup.runs(suffix_dedup.Names(raw))
