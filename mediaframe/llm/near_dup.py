@@ -14,15 +14,21 @@ most texts; a bucket that is then one component is done, so groups of thousands
 their pairs. In the others all pairs across components are compared, in
 blocks of bounded size, and only links that connect something more leave a block.
 
-Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased.
+Words are runs of letters, digits and marks of any script, lower-cased; in scripts that do not put spaces
+between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) every letter is a word.
 
 Defined cases: null or empty texts and texts without words are classes of their own; equal texts are one
 class; repeated rows are each a row of the result; a class is named by its smallest doc_id (null if it
-has none). Texts are told apart by a 64-bit hash.
+has none); the empty table has no classes; a very long text is hashed whole in one task (some 40 bytes of
+memory a character). Columns beside doc_id and text are kept by keep_one(), whatever their names, and left
+out by classes(). Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +41,13 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-LIKELY = 0.55  # share of equal registers below which a pair is no link: 6 deviations from the 0.8 of a link
 BLOCK = 256
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LUT = np.zeros(256, bool)
-_LUT[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+# The code points of scripts without spaces between words, first and last.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x323AF))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -63,13 +68,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+@lru_cache
+def kinds() -> np.ndarray:
+    """For every code point 0 (no part of a word), 1 (part of one) or 2 (a word by itself)."""
+    kind = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)], np.int8)
+    for a, b in UNSPACED:
+        kind[a : b + 1] *= 2
+    return kind
+
+
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """64-bit hashes of the text's shingles in order, with repeats."""
-    b = np.frombuffer((text or "").lower().encode(), np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _LUT[b]
-    edge = np.flatnonzero(np.diff(inside))
-    start, end = edge[::2], edge[1::2]
+    b = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.zeros(len(b) + 2, np.int8)
+    kind[1:-1] = kinds()[b]
+    # a word starts, and the one before ends, where the kind changes and at every letter of kind 2
+    now, before = kind[1:], kind[:-1]
+    change = (now != before) | (now == 2)
+    start, end = np.flatnonzero(change & (now > 0)), np.flatnonzero(change & (before > 0))
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = powers(len(b) + 1)
@@ -149,11 +165,16 @@ def verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, similar: fl
     return links
 
 
+def _shared(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it is small; else it is joined by a shuffle whose large partitions are split."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def hub_pairs(members: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's hub; members: bucket, node, n (the bucket's size)."""
     reach = members.groupBy("node").agg(F.sum("n").alias("reach"))
-    hub = members.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", "node")).alias("hub"))
-    pairs = members.join(hub, "bucket").where("node <> hub.node")
+    hub = materialize(members.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", "node")).alias("hub")), "hubs")
+    pairs = members.join(_shared(hub), "bucket").where("node <> hub.node")
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
@@ -184,7 +205,7 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
         for i in left:
             equal = sig[right] == sig[i]
             met = equal.reshape(len(right), -1, ROWS).all(axis=2)
-            ok = ~met[:, :band].any(axis=1) & (equal.sum(axis=1) >= LIKELY * sig.shape[1])
+            ok = ~met[:, :band].any(axis=1) & (comp[right] != comp[i])
             ok &= np.minimum(size[right], size[i]) >= similar * np.maximum(size[right], size[i])
             for j in right[ok]:
                 if comp[i] != comp[j]:
@@ -205,7 +226,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
     dealt = distinct.select("node", F.posexplode(bands).alias("band", "bucket"))
     sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = materialize(dealt.join(sizes, "bucket"), "members")
+    members = materialize(dealt.join(_shared(sizes), "bucket"), "members")
     release(sizes)
 
     pairs = materialize(hub_pairs(members), "pairs")

@@ -114,8 +114,14 @@ def test_language_edges(spark):
 # ---- near duplicates --------------------------------------------------------------------------
 
 
+def shingle_set(text):
+    """Runs of five words, told by Python's own classes of characters and not by the operator's."""
+    words = re.findall("[\u0e00-\u0eff\u1000-\u109f\u3041-\u30ff\u3400-\u9fff]|[^\\W_\u0e00-\u0eff\u1000-\u109f\u3041-\u30ff\u3400-\u9fff]+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, bool(words)))}
+
+
 def expected_classes(ids, texts):
-    sets = [set((near_dup.shingles(t) >> np.uint64(32)).tolist()) for t in texts]
+    sets = [shingle_set(t) for t in texts]
     index, shared, root = defaultdict(list), Counter(), list(range(len(texts)))
     for i, s in enumerate(sets):
         for h in s:
@@ -184,6 +190,49 @@ def test_near_dup_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == expected
 
 
+def test_near_dup_unspaced_scripts(spark):
+    rng = random.Random(8)
+    texts = []
+    for a, b in ((0x4E00, 0x9000), (0x3041, 0x3090), (0xE01, 0xE2E)):
+        for _ in range(4):
+            base = [chr(rng.randint(a, b)) for _ in range(660)]
+            texts += ["".join(base), "".join(base[:330] + ["\u3042"] + base[331:]), "。".join(["".join(base[:300]), "".join(base[300:])])]
+            texts.append("".join(base[:220] + [chr(rng.randint(a, b)) for _ in range(440)]))
+    expected = expected_classes(list(range(len(texts))), texts)
+    assert [expected[i] % 4 for i in range(len(texts))] == [0, 0, 0, 3] * 12
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == expected
+
+
+def test_near_dup_recall_by_similarity(spark):
+    """Pairs of every similarity from 0.8 on, 150 a band: nearly all are found, and none below it."""
+    rng, texts, similar = random.Random(9), [], []
+    for changes in (1, 3, 5, 8, 11):
+        for i in range(150):
+            base = [f"b{changes}w{i}x{rng.randrange(10**6)}" for _ in range(400)]
+            other = base[:]
+            for k in rng.sample(range(0, 400, 10), changes):
+                other[k] = f"y{rng.randrange(10**9)}"
+            texts += [" ".join(base), " ".join(other)]
+            a, b = shingle_set(texts[-2]), shingle_set(texts[-1])
+            similar.append(len(a & b) / len(a | b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    linked = np.array([got[2 * i] == got[2 * i + 1] for i in range(len(similar))])
+    similar = np.array(similar)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        here = (similar >= low) & (similar < high)
+        assert here.sum() >= 100 and linked[here].mean() >= 0.99
+    assert not linked[similar < 0.8].any() and (similar < 0.8).sum() >= 100
+
+
+def test_near_dup_joined_instead_of_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: r.class_id for r in near_dup.op8_probminhash_near_dup(spark, SF).collect()}
+    assert got == expected_classes([d.doc_id for d in docs], [d.text for d in docs])
+
+
 def test_near_dup_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "two words", 3), (4, "Two, WORDS!", 4), (5, "...", 5), (None, "two words", 6), (7, "two words", 7), (3, "two words", 8)], "doc_id long, text string, node int")
     rows = [(r.doc_id, r.class_id, r.class_size) for r in near_dup.classes(df).collect()]
