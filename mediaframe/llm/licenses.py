@@ -6,7 +6,13 @@ the regexes of their rules. Whatever a rule can match holds one of its keywords,
 higher priority is suppressed; of equal ones the rule that stands first stays. Everything is an
 expression on the row, so there is no shuffle and no Python, and a document is never split.
 
-Defined cases: null text is empty; it has 0 words, no places, empty label strings and score 0.
+A name without a version gives the bare label, with one the label of that version; the longer interval
+suppresses the shorter one it contains.
+
+Defined cases: null text is empty; it has 0 words, no places, empty label strings and score 0; a very long
+text is one string of one row (nothing is cut); of equal intervals the rule that stands first wins; repeated
+rows give repeated results; an empty table gives none; columns of the result replace those of the same name,
+others are kept.
 """
 
 from __future__ import annotations
@@ -26,87 +32,185 @@ MARK = "\x01"  # cannot occur in a word
 # The phrases every scan finds, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Families: label, keyword or keywords that gate it (one for each alternative), regex of the name, regexes of what may follow a name as its version.
-FAMILIES = (
-    ("gpl-1.0", " gpl", "(?:gnu )?gpl", "(?:v|version )?1(?: 0)?"),
-    ("gpl-2.0", " gpl", "(?:gnu )?gpl", "(?:v|version )?2(?: 0)?"),
-    ("gpl-3.0", " gpl", "(?:gnu )?gpl", "(?:v|version )?3(?: 0)?"),
-    ("gpl", " general public", "(?:gnu )?general public licen[sc]e", "version [123](?: 0)?"),
-    ("lgpl-2.0", " lgpl", "(?:gnu )?lgpl", "(?:v|version )?2(?: 0)?"),
-    ("lgpl-2.1", " lgpl", "(?:gnu )?lgpl", "(?:v|version )?2 1"),
-    ("lgpl-3.0", " lgpl", "(?:gnu )?lgpl", "(?:v|version )?3(?: 0)?"),
-    ("lgpl", " lesser general", "(?:gnu )?lesser general public licen[sc]e", "version [23](?: [01])?"),
-    ("agpl-3.0", " agpl", "(?:gnu )?agpl", "(?:v|version )?3(?: 0)?"),
-    ("agpl", " affero", "(?:gnu )?affero general public licen[sc]e", "version [13](?: 0)?"),
-    ("gfdl", " free documentation", "(?:gnu )?free documentation licen[sc]e", "version 1 [123]"),
-    ("apache-1.1", " apache", "apache(?: software)?(?: licen[sc]e)?", "(?:v|version )?1 [01]"),
-    ("apache-2.0", " apache", "apache(?: licen[sc]e)?", "(?:v|version )?2(?: 0)?"),
-    ("mpl-1.1", " mpl", "mpl", "(?:v|version )?1 [01]"),
-    ("mpl-2.0", " mpl", "mpl", "(?:v|version )?2(?: 0)?"),
-    ("mpl", " mozilla public", "mozilla public licen[sc]e", "(?:v|version )?[12] [01]"),
-    ("epl", " eclipse public", "eclipse public licen[sc]e", "(?:v|version )?[12](?: 0)?"),
-    ("eupl", " eupl", "eupl", "(?:v|version )?1 [012]"),
-    ("cddl", " common development", "common development and distribution licen[sc]e", "(?:v|version )?1 [01]"),
-    ("cpl", " common public", "common public licen[sc]e", "(?:v|version )?1 0"),
-    ("bsd-2-clause", (" bsd", " freebsd"), "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "licen[sc]e"),
-    ("bsd-3-clause", " bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "licen[sc]e"),
-    ("bsd-4-clause", " bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "licen[sc]e"),
-    ("bsd", " bsd", "bsd(?: style)?", "licen[sc]e"),
-    ("mit", (" mit ", " mitlicen", " expat"), "(?:mit|expat)(?: style)?", "licen[sc]e"),
-    ("isc", (" isc ", " isclicen"), "isc", "licen[sc]e"),
-    ("zlib", " zlib", "zlib(?: libpng)?", "licen[sc]e"),
-    ("boost", " boost", "boost software licen[sc]e", "(?:v|version )?1 0"),
-    ("artistic", " artistic", "(?:perl )?artistic licen[sc]e", "(?:v|version )?[12] 0"),
-    ("unlicense", " unlicense", "(?:the )?unlicense", "licen[sc]e"),
-    ("wtfpl", " wtfpl", "wtfpl", "(?:v|version )?2"),
-    ("python", " python", "python(?: software foundation)? licen[sc]e", "(?:v|version )?2(?: 0)?"),
-    ("openssl", " openssl", "openssl(?: licen[sc]e)?", "licen[sc]e"),
-    ("ofl", " open font", "(?:sil )?open font licen[sc]e", "(?:v|version )?1 [01]"),
-    ("odbl", " database", "open database licen[sc]e", "(?:v|version )?1 0"),
-    ("cc0", " cc0", "cc0", "(?:v|version )?1 0"),
-    ("cc-by", " cc by", "cc by", "(?:v|version )?[1234] [05]"),
-    ("cc-by-sa", " cc by sa", "cc by sa", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nd", " cc by nd", "cc by nd", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nc", " cc by nc", "cc by nc", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nc-sa", " cc by nc sa", "cc by nc sa", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nc-nd", " cc by nc nd", "cc by nc nd", "(?:v|version )?[1234] [05]"),
-    ("cc-by", " creative commons", "creative commons attribution", "(?:v|version )?[1234] [05]"),
-    ("cc-by-sa", " creative commons", "creative commons attribution share ?alike", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nc", " creative commons", "creative commons attribution non ?commercial", "(?:v|version )?[1234] [05]"),
-    ("cc-by-nd", " creative commons", "creative commons attribution no ?deriv(?:ative)?s", "(?:v|version )?[1234] [05]"),
+# Names of licenses that come in versions: label, keywords (one for each alternative), name, versions. A name alone
+# gives the label; with a version it gives label-version.
+GNU_1, GNU_2, GNU_3 = "(?:v|version )?1(?: 0)?", "(?:v|version )?2(?: 0)?", "(?:v|version )?3(?: 0)?"
+CC = {v: f"(?:v|version )?{v.replace('.', ' ')}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
+VERSIONED = (
+    ("gpl", " gpl", "(?:gnu )?gpl", {"1.0": GNU_1, "2.0": GNU_2, "3.0": GNU_3}),
+    ("gpl", " general public", "(?:gnu )?general public licen[sc]e", {"1.0": GNU_1, "2.0": GNU_2, "3.0": GNU_3}),
+    ("lgpl", " lgpl", "(?:gnu )?lgpl", {"2.0": GNU_2, "2.1": "(?:v|version )?2 1", "3.0": GNU_3}),
+    ("lgpl", (" lesser general", " library general"), "(?:gnu )?(?:lesser|library) general public licen[sc]e", {"2.0": GNU_2, "2.1": "(?:v|version )?2 1", "3.0": GNU_3}),
+    ("agpl", " agpl", "(?:gnu )?agpl", {"3.0": GNU_3}),
+    ("agpl", " affero", "(?:gnu )?affero general public licen[sc]e", {"1.0": GNU_1, "3.0": GNU_3}),
+    ("gfdl", (" gfdl", " free documentation"), "(?:gfdl|(?:gnu )?free documentation licen[sc]e)", {"1.1": "(?:v|version )?1 1", "1.2": "(?:v|version )?1 2", "1.3": "(?:v|version )?1 3"}),
+    ("apache", " apache", "(?:the )?apache(?: software)?(?: licen[sc]e)?", {"1.0": "(?:v|version )?1 0", "1.1": "(?:v|version )?1 1", "2.0": GNU_2}),
+    ("mpl", (" mpl", " mozilla public"), "(?:mpl|mozilla public licen[sc]e)", {"1.0": "(?:v|version )?1 0", "1.1": "(?:v|version )?1 1", "2.0": GNU_2}),
+    ("epl", (" epl", " eclipse public"), "(?:epl|eclipse public licen[sc]e)", {"1.0": GNU_1, "2.0": GNU_2}),
+    ("eupl", (" eupl", " european union public"), "(?:eupl|european union public licen[sc]e)", {"1.1": "(?:v|version )?1 1", "1.2": "(?:v|version )?1 2"}),
+    ("cddl", (" cddl", " common development"), "(?:cddl|common development and distribution licen[sc]e)", {"1.0": "(?:v|version )?1 0", "1.1": "(?:v|version )?1 1"}),
+    ("artistic", " artistic", "(?:perl )?artistic licen[sc]e", {"1.0": "(?:v|version )?1 0", "2.0": GNU_2}),
+    ("ofl", (" ofl", " open font"), "(?:ofl|(?:sil )?open font licen[sc]e)", {"1.0": "(?:v|version )?1 0", "1.1": "(?:v|version )?1 1"}),
+    ("odbl", (" odbl", " open database"), "(?:odbl|open database licen[sc]e)", {"1.0": "(?:v|version )?1 0"}),
+    ("cc0", " cc0", "cc0", {"1.0": "(?:v|version )?1 0"}),
+    ("cc-by", (" cc by", " creative commons"), "(?:cc by|creative commons attribution)", CC),
+    ("cc-by-sa", (" cc by sa", " creative commons"), "(?:cc by sa|creative commons attribution share ?alike)", CC),
+    ("cc-by-nd", (" cc by nd", " creative commons"), "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", CC),
+    ("cc-by-nc", (" cc by nc", " creative commons"), "(?:cc by nc|creative commons attribution non ?commercial)", CC),
+    ("cc-by-nc-sa", (" cc by nc sa", " creative commons"), "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", CC),
+    ("cc-by-nc-nd", (" cc by nc nd", " creative commons"), "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", CC),
 )
+GRANT = "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+LATER = "(?: only| or(?: any| at your option any)? later(?: version)?| plus)?"
+#: Priority and form of a name without and with its version.
+BARE = ((3, GRANT + "{name}"), (3, "spdx licen[sc]e identifier {name}"), (2, "licen[sc]e {name}"), (1, "{name} licen[sc]e"))
+EXACT = ((3, GRANT + "{name} ?{version}" + LATER), (3, "spdx licen[sc]e identifier {name} ?{version}" + LATER), (2, "{name} ?{version}" + LATER))
 
-# Forms in which a name counts: priority, regex with {name} and {version}.
-FORMS = (
-    (3, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}(?: ?{version})?"),
-    (3, "spdx licen[sc]e identifier {name}(?: ?{version})?(?: only| or later)?"),
-    (3, "under (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: ?{version})?"),
-    (2, "{name} ?{version}(?: only| or(?: any)? later(?: version)?)?"),
-    (2, "licen[sc]e {name}(?: ?{version})?"),
-    (1, "(?:the )?{name} licen[sc]e"),
-)
-
-# Rules of their own: label, keyword, priority, regex.
+# Rules written one by one: label, priority, keywords (one for each alternative of the regex), regex.
 SINGLES = (
-    ("all-rights-reserved", " rights reserved", 1, "all rights reserved"),
-    ("copyright", " copyright", 1, "copyright (?:c )?(?:(?:19|20)[0-9]{2} )?(?:by )?[a-z]+"),
-    ("mit", " permission is hereby", 3, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", " permission to use", 3, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", " redistribution and use", 3, "redistribution and use in source and binary forms"),
-    ("as-is", " as is", 1, "(?:provided|distributed) (?:on an )?as is"),
-    ("no-warranty", " warrant", 1, "without (?:any )?warrant(?:y|ies)"),
-    ("public-domain", " public domain", 2, "(?:in|into|to) the public domain"),
-    ("proprietary", " proprietary", 2, "proprietary and confidential"),
-    ("unspecified-license", " licen", 1, "(?:see|read) (?:the )?licen[sc]e(?: file)?"),
-)
+    # names without versions
+    ("mit", 3, (" mit ", " mitlicen", " expat"), GRANT + "(?:mit|expat)(?: style)?(?: ?licen[sc]e)?"),
+    ("mit", 3, (" mit ", " mitlicen", " expat"), "spdx licen[sc]e identifier (?:mit|expat)(?: ?licen[sc]e)?"),
+    ("mit", 2, (" mit ", " mitlicen", " expat"), "(?:the )?(?:mit|expat)(?: style)? ?licen[sc]e"),
+    ("mit", 2, (" mit ", " mitlicen", " expat"), "licen[sc]e (?:mit|expat)"),
+    ("mit-0", 3, " mit 0", "(?:spdx licen[sc]e identifier )?mit 0"),
+    ("mit", 1, " x11", "x11 licen[sc]e"),
+    ("isc", 3, (" isc ", " isclicen"), GRANT + "isc(?: ?licen[sc]e)?"),
+    ("isc", 3, (" isc ", " isclicen"), "spdx licen[sc]e identifier isc(?: ?licen[sc]e)?"),
+    ("isc", 2, (" isc ", " isclicen"), "(?:the )?isc ?licen[sc]e"),
+    ("bsd", 3, " bsd", GRANT + "(?:a )?bsd(?: style)?(?: licen[sc]e)?"),
+    ("bsd", 1, " bsd", "(?:the )?bsd(?: style)? licen[sc]e"),
+    ("0bsd", 3, (" 0bsd", " zero clause bsd"), "(?:0bsd|(?:bsd )?zero clause bsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", 3, (" bsd", " freebsd"), GRANT + "(?:simplified bsd|freebsd|bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", 2, (" bsd", " freebsd"), "(?:the )?(?:simplified bsd|freebsd) licen[sc]e"),
+    ("bsd-2-clause", 2, " bsd", "bsd (?:2|two) clause(?: licen[sc]e)?"),
+    ("bsd-2-clause", 2, " clause bsd", "(?:2|two) clause bsd(?: licen[sc]e)?"),
+    ("bsd-3-clause", 3, " bsd", GRANT + "(?:new bsd|modified bsd|bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[sc]e)?"),
+    ("bsd-3-clause", 2, " bsd", "(?:the )?(?:new|modified|revised) bsd licen[sc]e"),
+    ("bsd-3-clause", 2, " bsd", "bsd (?:3|three) clause(?: licen[sc]e)?"),
+    ("bsd-3-clause", 2, " clause bsd", "(?:3|three) clause bsd(?: licen[sc]e)?"),
+    ("bsd-4-clause", 2, " bsd", "(?:the )?original bsd licen[sc]e"),
+    ("bsd-4-clause", 2, " bsd", "bsd (?:4|four) clause(?: licen[sc]e)?"),
+    ("zlib", 2, " zlib", "(?:the )?zlib(?: libpng)? licen[sc]e"),
+    ("zlib", 3, " zlib", "spdx licen[sc]e identifier zlib"),
+    ("libpng", 2, (" libpng", " png reference"), "(?:libpng|png reference library) licen[sc]e(?: version 2)?"),
+    ("boost", 2, " boost", "(?:the )?boost software licen[sc]e(?: (?:v|version )?1 0)?"),
+    ("boost", 3, " bsl 1", "spdx licen[sc]e identifier bsl 1 0"),
+    ("unlicense", 2, " unlicense", "(?:the )?unlicense"),
+    ("wtfpl", 2, " wtfpl", "wtfpl(?: (?:v|version )?2)?"),
+    ("psf-2.0", 2, (" python", " psf"), "(?:python(?: software foundation)? licen[sc]e|psf licen[sc]e)(?: (?:v|version )?2(?: 0)?)?"),
+    ("openssl", 2, " openssl", "openssl licen[sc]e"),
+    ("php", 2, " php", "php licen[sc]e(?: (?:v|version )?3 (?:0|01))?"),
+    ("ruby", 1, " ruby", "(?:the )?(?:ruby licen[sc]e|same terms as ruby)"),
+    ("perl", 2, " perl", "same terms as perl(?: itself)?"),
+    ("postgresql", 2, " postgresql", "(?:the )?postgresql licen[sc]e"),
+    ("ncsa", 2, (" ncsa", " university of illinois"), "(?:university of illinois )?ncsa open source licen[sc]e"),
+    ("ms-pl", 2, (" microsoft public", " ms pl"), "(?:microsoft public licen[sc]e|ms pl)"),
+    ("ms-rl", 2, (" microsoft reciprocal", " ms rl"), "(?:microsoft reciprocal licen[sc]e|ms rl)"),
+    ("vim", 1, " vim", "(?:the )?vim licen[sc]e"),
+    ("w3c", 2, " w3c", "w3c(?: software(?: notice)?(?: and)?)? licen[sc]e"),
+    ("zpl", 2, (" zope public", " zpl"), "(?:zope public|zpl) licen[sc]e(?: (?:v|version )?2 [01])?"),
+    ("sleepycat", 2, " sleepycat", "(?:the )?sleepycat licen[sc]e"),
+    ("ftl", 2, (" freetype", " ftl"), "(?:freetype (?:project )?licen[sc]e|spdx licen[sc]e identifier ftl)"),
+    ("curl", 2, " curl", "(?:the )?curl licen[sc]e"),
+    ("beerware", 2, (" beerware", " beer ware"), "(?:the )?beer ?ware licen[sc]e"),
+    ("cecill", 2, " cecill", "(?:the )?cecill(?: [bc])?(?: licen[sc]e)?"),
+    ("cpl", 2, " common public", "(?:ibm )?common public licen[sc]e(?: (?:v|version )?1 0)?"),
+    ("cpal", 2, " common public attribution", "common public attribution licen[sc]e(?: (?:v|version )?1 0)?"),
+    ("sspl", 2, (" server side public", " sspl"), "(?:server side public licen[sc]e|sspl)(?: (?:v|version )?1)?"),
+    ("busl", 2, (" business source", " busl"), "(?:business source licen[sc]e|busl)(?: (?:v|version )?1 1)?"),
+    ("elastic", 2, " elastic licen", "elastic licen[sc]e(?: (?:v|version )?2(?: 0)?)?"),
+    ("commons-clause", 2, " commons clause", "commons clause(?: licen[sc]e condition)?"),
+    ("polyform", 2, " polyform", "polyform (?:noncommercial|shield|strict|perimeter|small business|free trial|internal use)(?: licen[sc]e)?"),
+    ("upl", 2, " universal permissive", "universal permissive licen[sc]e(?: (?:v|version )?1 0)?"),
+    ("osl", 2, " open software licen", "open software licen[sc]e(?: (?:v|version )?[123] [01])?"),
+    ("afl", 2, " academic free", "academic free licen[sc]e(?: (?:v|version )?[123] [012])?"),
+    ("odc-by", 2, (" odc by", " open data commons"), "(?:odc by|open data commons attribution licen[sc]e)"),
+    ("pddl", 2, (" pddl", " public domain dedication and"), "(?:pddl|public domain dedication and licen[sc]e)"),
+    ("cc-by", 1, " creative commons", "creative commons licen[sc]e"),
+    # grants and conditions, as the licenses word them
+    ("mit", 3, " permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 2, " above copyright notice and this permission", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("isc", 3, " permission to use", "permission to use copy modify and or distribute this software for any purpose"),
+    ("hpnd", 3, " permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("bsd", 3, " redistribution and use", "redistribution and use in source and binary forms"),
+    ("bsd", 2, " redistributions of source", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 2, " redistributions in binary", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 2, " neither the name", "neither the names? of (?:[a-z0-9]+ ){1,12}may be used to endorse or promote"),
+    ("bsd-4-clause", 2, " all advertising", "all advertising materials mentioning features or use of this software"),
+    ("apache-2.0", 3, " you may not use this file", "you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2.0", 2, " obtain a copy of the licen", "you may obtain a copy of the licen[sc]e at"),
+    ("gpl", 3, " redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", 3, " redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", 3, " redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("gpl-2.0", 2, " either version 2", "either version 2 of the licen[sc]e or at your option any later version"),
+    ("gpl-3.0", 2, " either version 3", "either version 3 of the licen[sc]e or at your option any later version"),
+    ("gpl", 1, " you should have received a copy", "you should have received a copy of the gnu general public licen[sc]e"),
+    ("mpl-2.0", 3, " source code form is subject", "this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("mpl-1.1", 3, " contents of this file are subject", "the contents of this file are subject to the mozilla public licen[sc]e"),
+    ("epl", 3, " accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("cddl", 3, " contents of this file are subject", "the contents of this file are subject to the terms of the common development"),
+    ("boost", 3, " distributed under the boost", "distributed under the boost software licen[sc]e"),
+    ("zlib", 3, " in no event will the authors", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 2, " altered source versions", "altered source versions must be plainly marked as such"),
+    ("unlicense", 3, " free and unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 3, " do what the fuck", "do what the fuck you want to(?: public licen[sc]e)?"),
+    ("beerware", 3, " buy me a beer", "you can buy me a beer in return"),
+    ("json", 3, " for good not evil", "the software shall be used for good not evil"),
+    ("openssl", 3, " developed by the openssl", "this product includes software developed by the openssl project"),
+    ("psf-2.0", 3, " psf is making python", "psf is making python available to licensee"),
+    ("ofl", 3, " this font software is licensed", "this font software is licensed under the sil open font licen[sc]e"),
+    ("cc0", 3, (" dedicated the work", " waived all copyright"), "(?:dedicated the work to|waived all copyright and related)"),
+    ("cc-by", 3, " this work is licensed under", "this work is licensed under (?:a|the) creative commons attribution"),
+    ("sspl", 3, " functionality of the program", "make the functionality of the program or a modified version available to third parties as a service"),
+    ("commons-clause", 3, " right to sell the software", "does not grant to you the right to sell the software"),
+    # exceptions
+    ("classpath-exception", 2, " classpath exception", "(?:gnu )?classpath exception(?: 2 0)?"),
+    ("gcc-exception", 2, " gcc runtime", "gcc runtime library exception(?: version)?(?: 3 1)?"),
+    ("llvm-exception", 2, " llvm exception", "(?:with )?llvm exceptions?"),
+    ("font-exception", 2, " font exception", "font exception(?: 2 0)?"),
+    ("autoconf-exception", 2, " autoconf", "autoconf (?:configure script )?exception(?: [23] 0)?"),
+    ("bison-exception", 2, " bison exception", "bison exception(?: 2 2)?"),
+    ("linking-exception", 2, " special exception", "as a special exception (?:[a-z0-9]+ ){0,20}permission to link"),
+    ("linking-exception", 2, " linking exception", "linking exception"),
+    ("universal-foss-exception", 2, " universal foss", "universal foss exception"),
+    # notices
+    ("all-rights-reserved", 1, " rights reserved", "all rights reserved"),
+    ("some-rights-reserved", 1, " rights reserved", "some rights reserved"),
+    ("copyright", 1, " copyright", "copyright (?:c )?(?:(?:19|20)[0-9]{2} )?(?:by )?[a-z]+"),
+    ("copyright", 1, " spdx filecopyrighttext", "spdx filecopyrighttext [a-z0-9]+"),
+    ("as-is", 1, " as is", "(?:provided|distributed) (?:on an )?as is"),
+    ("no-warranty", 1, " warrant", "without (?:any )?(?:express or implied )?warrant(?:y|ies)"),
+    ("no-liability", 1, " be liable", "in no event shall (?:[a-z0-9]+ ){1,12}be liable"),
+    ("public-domain", 2, " public domain", "(?:in|into|to) the public domain"),
+    ("public-domain", 2, " public domain", "(?:this (?:file|code|work|software) is )?dedicated to the public domain"),
+    ("proprietary", 2, " proprietary", "proprietary and confidential"),
+    ("proprietary", 2, " trade secret", "contains? (?:confidential )?trade secrets?"),
+    ("proprietary", 2, " unpublished", "unpublished (?:proprietary )?source code"),
+    ("proprietary", 2, " strictly prohibited", "unauthorized (?:copying|use|distribution) (?:[a-z0-9]+ ){0,12}strictly prohibited"),
+    ("non-commercial", 2, (" noncommercial", " non commercial"), "(?:for )?(?:non ?commercial use only|personal use only non ?commercial)"),
+    ("research-only", 2, " research purposes", "for (?:academic |non ?commercial )?research purposes only"),
+    ("evaluation-only", 2, " evaluation", "for evaluation (?:purposes )?only"),
+    ("dual-license", 2, (" dual licensed", " dually licensed"), "(?:dual|dually) licensed"),
+    ("contributor-agreement", 1, " contributor licen", "contributor licen[sc]e agreement"),
+    ("end-user-agreement", 1, " end user licen", "end user licen[sc]e agreement"),
+    ("terms-of-service", 1, " terms of service", "(?:subject to|agree to) (?:the |our )?terms of service"),
+    ("unspecified-license", 1, " licen", "(?:see|read) (?:the )?licen[sc]e(?: file| txt| md)?"),
+    ("unspecified-license", 1, " copying", "see (?:the )?(?:file )?copying"),
+    ("unspecified-license", 1, " licen", "licen[sc]e (?:file|agreement|information)"),
+    ("unspecified-license", 1, " licen", "under (?:an? )?open source licen[sc]e"),
+    ("patent-grant", 1, " patent licen", "(?:worldwide |perpetual |royalty free |non exclusive )*patent licen[sc]e"),
+    ("attribution-required", 1, " attribution", "attribution (?:is )?required"),
+)
 CONFIDENCE = {1: 0.6, 2: 0.8, 3: 0.95}
 RULE = "array<struct<ord: int, priority: int, keywords: array<string>, label: string, pattern: string>>"
 
 
 def rules() -> list[dict]:
-    """All rules in order: each family in each form, then the single ones."""
-    flat = [(p, keyword, label, form.format(name=name, version=f"(?:{version})")) for label, keyword, name, version in FAMILIES for p, form in FORMS]
-    flat += [(p, keyword, label, pattern) for label, keyword, p, pattern in SINGLES]
+    """All rules in order: the names with their versions, the names alone, then the rules written one by one."""
+    flat = [(p, k, f"{label}-{v}", form.format(name=name, version=version)) for label, k, name, versions in VERSIONED for v, version in versions.items() for p, form in EXACT]
+    flat += [(p, k, label, form.format(name=name)) for label, k, name, _ in VERSIONED for p, form in BARE]
+    flat += [(p, keyword, label, pattern) for label, p, keyword, pattern in SINGLES]
     return [{"ord": i, "priority": p, "keywords": [k] if isinstance(k, str) else list(k), "label": label, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"} for i, (p, k, label, pattern) in enumerate(flat)]
 
 
