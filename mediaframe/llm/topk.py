@@ -10,8 +10,13 @@ and a partition reports at most k occupied buckets a query (the k-th value of th
 below the k-th value of a part) and at most k rows a query in the last pass, so a value shared by a
 third of all rows costs no more than any other.
 
-Defined cases: vectors that are null or hold null, NaN or infinite components take no part, neither
-as query nor as candidate; shorter vectors count as padded with zeros; a query's own row is every row
+Inner products are exact: a pair whose norms multiply to less than 2^52 is scored in doubles, which hold all
+its sums, others in 64-bit integers or, beyond 2^62, in integers of any size. Scores that a long cannot hold
+saturate at its ends (+-(2^63 - 1)) and tie there.
+
+Defined cases: an empty table or no query gives no rows; columns beside the key and the vector are left out,
+whatever their names; vectors that are null or hold null, NaN or infinite components take no part, neither
+as query as query nor as candidate, nor do those with a component whose scaled value no double holds; shorter vectors count as padded with zeros; a query's own row is every row
 with its vec_id; query rows repeated with the same vector are one query, candidates repeated are
 returned as often as they stand; rows without vec_id are no queries and come last in ties.
 """
@@ -25,18 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import configure, materialize, read
+from mediaframe.llm.common import materialize, read
 
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 LAST = np.iinfo(np.int64).max
+OWN = np.iinfo(np.int64).min  # stands for the score of a query's own row; no score is as low
+EXACT, WHOLE = 2.0**52, 2.0**62
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
     """vec_id, v: the rows that take part, components floor(scale * x)."""
-    bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))).select(
-        F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v")
-    )
+    bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) == float("inf")))
+
+    def down(x):  # doubles from 2^52 on are whole already, and floor() gives longs
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), down).alias("v"))
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -52,25 +62,49 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 
 def _scores(batch, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate ids, scores as queries x candidates, own rows at the lowest value)."""
+    """(candidate ids, scores as queries x candidates, own rows at OWN)."""
     vec = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-    got = (q @ _matrix(batch.column(1), q.shape[1]).T).astype(np.int64)
-    got[ids[:, None] == vec[None, :]] = -LAST
+    got = inner(q, _matrix(batch.column(1), q.shape[1]))
+    got[ids[:, None] == vec[None, :]] = OWN
     return vec, got
 
 
-def _histogram(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, bins: int, k: int) -> dict:
+def inner(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, queries x candidates, within +-LAST."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms, mine = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
+        most = norms.max(initial=0) * mine
+    plain = most < EXACT
+    if plain.all():
+        return (q @ m.T).astype(np.int64)
+    got = np.zeros((len(q), len(m)), np.int64)
+    got[:, plain] = (q @ m[plain].T).astype(np.int64)
+    whole = ~plain & (most < WHOLE)
+    if whole.any():
+        got[:, whole] = q.astype(np.int64) @ m[whole].astype(np.int64).T
+    for j in np.flatnonzero(~plain & ~whole):
+        with np.errstate(over="ignore", invalid="ignore"):
+            small = norms * mine[j] < EXACT
+        got[small, j] = (q[small] @ m[j]).astype(np.int64)
+        column = [int(x) for x in m[j]]
+        for i in np.flatnonzero(~small):
+            got[i, j] = max(-LAST, min(LAST, sum(int(x) * y for x, y in zip(q[i], column, strict=True))))
+    return got
+
+
+def _histogram(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, low: list[int], width: list[int], bins: int, k: int) -> dict:
     """(query index, bucket) -> count over all rows; a score past the last bucket's edge counts there."""
     import pyarrow as pa
 
-    held = vecs.sparkSession.sparkContext.broadcast((ids, q, low, width))
+    held = vecs.sparkSession.sparkContext.broadcast((ids, q, np.array(low, np.int64), np.array(width, np.uint64)))
 
     def go(batches):
         ids, q, low, width = held.value
         count = np.zeros((len(ids), bins), np.int64)
         for batch in batches:
             _, got = _scores(batch, ids, q)
-            slot = np.minimum((got - low[:, None]) // width[:, None], bins - 1)
+            # differences may pass the long's range, but not that of the unsigned
+            slot = np.minimum((got.view(np.uint64) - low.view(np.uint64)[:, None]) // width[:, None], np.uint64(bins - 1)).astype(np.int64)
             at = np.flatnonzero((got >= low[:, None]).ravel())
             count += np.bincount((slot + np.arange(len(ids))[:, None] * bins).ravel()[at], minlength=count.size).reshape(count.shape)
         above = count[:, ::-1].cumsum(axis=1)[:, ::-1] - count
@@ -83,11 +117,11 @@ def _histogram(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, low: np.ndarray,
     return {(r.q, r.slot): r.n for r in found.withColumn("above", above).where(F.col("above") < k).collect()}
 
 
-def _select(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, edge: np.ndarray, k: int) -> DataFrame:
+def _select(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, edge: list[int], k: int) -> DataFrame:
     """Rows with a score from the edge up; of a partition, the k best of each query."""
     import pyarrow as pa
 
-    held = vecs.sparkSession.sparkContext.broadcast((ids, q, edge))
+    held = vecs.sparkSession.sparkContext.broadcast((ids, q, np.array(edge, np.int64)))
 
     def best(who, vec, score):
         order = np.lexsort((vec, -score, who))
@@ -101,7 +135,7 @@ def _select(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, edge: np.ndarray, k
         kept = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             vec, got = _scores(batch, ids, q)
-            who, at = np.nonzero((got >= edge[:, None]) & (got > -LAST))
+            who, at = np.nonzero((got >= edge[:, None]) & (got > OWN))
             if len(who):
                 kept = best(*(np.concatenate(x) for x in zip(kept, (who, vec[at], got[who, at]), strict=True)))
         if len(kept[0]):
@@ -118,7 +152,6 @@ def exact_topk(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     ends when at most slack * k rows of a query lie from the current bucket up.
     """
     spark = df.sparkSession
-    configure(spark, 2048)
     vecs = quantised(df, key, vector)
     asked = vecs.where(is_query)
     size = vecs.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
@@ -135,8 +168,10 @@ def exact_topk(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
         for i, (_, v) in enumerate(rows):
             q[i, : len(v)] = v
         # Scores lie within the product of the norms.
-        reach = np.ceil(np.sqrt((q * q).sum(axis=1)) * np.sqrt(size[1])).astype(np.int64) + 1
-        low, width = -reach, np.maximum(1, -(-(2 * reach + 1) // bins))
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.sqrt((q * q).sum(axis=1)) * np.sqrt(size[1])
+        reach = [int(x * 1.001) + 2 if x < WHOLE else int(LAST) for x in most]
+        low, width = [-x for x in reach], [-(-(2 * x + 1) // bins) for x in reach]
         need = np.full(len(rows), k)
         while True:
             found = _histogram(vecs, ids, q, low, width, bins, k)

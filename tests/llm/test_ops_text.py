@@ -504,6 +504,20 @@ def test_topk_brute_force(spark, block):
     assert got == sorted(expected)
 
 
+def test_topk_large_components(spark):
+    """Products beyond 2^53 are exact, those beyond a long saturate, and the other rows are right."""
+    rng = random.Random(3)
+    vectors = {i: [rng.uniform(-1, 1) * 10 ** (i % 9) for _ in range(4)] for i in range(200)}
+    vectors |= {201: [1e30, 1.0, 0.0, 0.0], 202: [-1e30, 1.0, 0.0, 0.0], 203: [3e15, 1.0, 2.0, 3.0], 204: [3e15, 2.0, 2.0, 3.0], 250: [1e30, 1e20, -1.0, 5.0]}
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()] + [(205, [1e308, 0.0, 0.0, 0.0], "x")], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors.items()}
+    most = 2**63 - 1
+    for q in (0, 50, 100, 150, 250):
+        scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        assert [got[(q, k + 1)] for k in range(5)] == [(i, -s) for s, i in scored[:5]]
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert topk.exact_topk(df, F.col("vec_id") == 0).count() == 2
