@@ -12,13 +12,15 @@ from mediaframe.plans.storage import materialize, release, shared_dir
 
 __all__ = ["KEPT", "configure", "held_out", "map_rows", "materialize", "nested", "read", "release", "shared_dir"]
 
-#: Rows per Arrow batch handed to Python: 256 texts of 120 KB stay near 30 MB.
-ARROW_ROWS = 256
+#: Bounds of an Arrow batch handed to Python, the same for every operator: whichever is met first.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
-def configure(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches that Python workers receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def configure(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers receive, by rows and by bytes."""
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import configure, map_rows, materialize, read, release
+from mediaframe.llm.common import map_rows, materialize, read, release
 from mediaframe.operators.components import connected_components
 
 WORDS = 5
@@ -133,9 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         return ([row.tobytes() if n else None for row, n in zip(held, sizes, strict=True)],)
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
-    out = map_rows(rows, ["doc_id", "node"], ["text"], go, "sig binary")
-    configure(docs.sparkSession, 1024)
-    return out
+    return map_rows(rows, ["doc_id", "node"], ["text"], go, "sig binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

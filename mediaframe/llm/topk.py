@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import materialize, read
+from mediaframe.llm.common import configure, materialize, read
 
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 LAST = np.iinfo(np.int64).max
@@ -152,6 +152,7 @@ def exact_topk(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     ends when at most slack * k rows of a query lie from the current bucket up.
     """
     spark = df.sparkSession
+    configure(spark)
     vecs = quantised(df, key, vector)
     asked = vecs.where(is_query)
     size = vecs.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()

@@ -2,7 +2,7 @@
 
 Writing stays in the JVM: a payload is cut into segments of bounded size and each segment is a WARC
 record of its own (segment 1 keeps the record's type, the others are ``continuation`` records with
-``WARC-Segment-Number``), so no task ever builds a record longer than a segment. Spark's text writer
+``WARC-Segment-Number``). Payloads are cut as they are scanned: what is shuffled, sorted and written are segments. Spark's text writer
 puts the record separator ``\\r\\n\\r\\n`` behind each one and commits the files, so lost executors and
 speculative copies leave no half-written archive; the archives are gzipped.
 
@@ -13,7 +13,8 @@ last chunk is that of the payload; nothing longer than a chunk is held.
 Defined cases: a null payload is empty; of equal payloads of at least min_bytes the record with the
 smallest key is the response and the others revisit it; a null key is larger than any other; rows that
 repeat key and payload are records of their own, numbered from 1, the first one the response; an
-archive that ends inside a record gives the chunks before the cut and no last chunk.
+archive that ends inside a record gives the chunks before the cut and no last chunk; an empty table
+gives no records; columns beside key, payload and url are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,17 +92,19 @@ def records(df: DataFrame, key: str = "page_id", payload: str = "html", url: str
         ).alias("value")
     )
 
-    # The payload joins its row of the plan by key and digest: nearly unique, so no partition is hot.
+    # The payload is cut where it is scanned, so that no row larger than a segment is shuffled, sorted or
+    # kept. A segment takes its bytes from the header and the body directly: the two are never put together.
+    # Segments join their row of the plan by key and digest: nearly unique, so no partition is hot.
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    full = df.select(F.col(key).alias("key"), body.alias("body"), base32_sha1(body).alias("digest"))
-    wanted = plan.where("not revisit").withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit("null"))).drop("key")
-    once = full.withColumn("k", F.coalesce(F.col("key").cast("string"), F.lit("null"))).join(wanted, ["k", "digest"])
-    once = once.dropDuplicates(["k", "digest", "n"])
-    cut = once.withColumn("total", F.octet_length(http) + F.col("bytes")).withColumn("seg", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("total") / segment_bytes).cast("int")))))
-    # A segment takes its bytes from the header and the body directly: the two are never put together whole.
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    full = df.select(text(F.col(key)).alias("k"), body.alias("body"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
+    full = full.withColumn("total", F.octet_length(http) + F.col("bytes")).withColumn("seg", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("total") / segment_bytes).cast("int")))))
     before, head = ((F.col("seg") - 1) * segment_bytes).cast("int"), F.octet_length(http)
     begin, end = F.greatest(before - head, F.lit(0)), F.greatest(before + segment_bytes - head, F.lit(0))
     piece = F.concat(F.substring(http.cast("binary"), before + 1, F.lit(segment_bytes)), F.substring(F.col("body"), begin + 1, end - begin))
+    pieces = full.select("k", "digest", "total", "seg", piece.alias("piece"))
+    wanted = plan.where("not revisit").withColumn("k", text(F.col("key")))
+    cut = pieces.join(wanted, ["k", "digest"]).dropDuplicates(["k", "digest", "n", "seg"])
     size = F.least(F.lit(segment_bytes).cast("long"), F.col("total") - before)
     several, last = F.col("total") > segment_bytes, F.col("seg") * segment_bytes >= F.col("total")
     numbered = F.when(several, _line("WARC-Segment-Number", F.col("seg").cast("string")))
@@ -108,7 +112,7 @@ def records(df: DataFrame, key: str = "page_id", payload: str = "html", url: str
     first = _head(F.lit("response"), rid, target, digest, numbered, summed, content)
     later = _head(F.lit("continuation"), F.concat(rid, F.lit(":"), F.col("seg").cast("string")), _line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), rid, F.lit(">"))), numbered, summed)
     sized = _line("Content-Length", size.cast("string"))
-    responses = cut.select(F.concat(F.when(F.col("seg") == 1, first).otherwise(later).cast("binary"), sized.cast("binary"), F.lit(CRLF).cast("binary"), piece).cast("string").alias("value"))
+    responses = cut.select(F.concat(F.when(F.col("seg") == 1, first).otherwise(later).cast("binary"), sized.cast("binary"), F.lit(CRLF).cast("binary"), F.col("piece")).cast("string").alias("value"))
     return responses.unionByName(revisits)
 
 
@@ -182,45 +186,75 @@ def chunks(source: io.BufferedIOBase, archive: str, chunk_bytes: int = CHUNK_BYT
             pending.pop(origin, None)
 
 
+class _Joined(io.RawIOBase):
+    """The bytes of an archive from the pieces between its record separators, one piece at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.left:
+            if (piece := next(self.pieces, None)) is None:
+                return 0
+            self.left = memoryview(piece + (CRLF * 2).encode())
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
 def read_archives(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table of the archives below path.
+    """The chunked record table of the archives below path, streamed from any store.
 
-    Shared file systems are opened where the task runs and streamed. From other stores Spark hands
-    over one archive at a time, so there the archive's size, not a record's, bounds the memory.
+    Shared file systems are opened where the task runs. From other stores Spark's text reader streams
+    gzipped archives, which it does not split, in pieces between record separators: with archives written
+    here at most a segment each. Only archives that are not gzipped come whole from there (at most 2 GB).
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(CHUNKS))
-    files = spark.read.format("binaryFile").load(path)
-    local = path.startswith(("/", "file:"))
-    configure(spark, 64 if local else 1)
-
-    def opened(batch) -> Iterator[tuple[str, io.BufferedIOBase]]:
-        names = batch.column(0).to_pylist()
-        if local:
-            for name in names:
+    configure(spark)
+
+    def files(batches) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
                 with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as f:
                     yield name, f
-        else:
-            for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
-                yield name, io.BufferedReader(io.BytesIO(content))
 
-    def go(batches):
-        rows, held = [], 0
+    def contents(batches) -> Iterator[tuple[str, io.BufferedIOBase]]:
         for batch in batches:
-            for name, source in opened(batch):
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield name.as_py(), io.BufferedReader(io.BytesIO(content.as_py()))
+
+    def lines(batches) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        rows = ((name.as_py(), piece) for batch in batches for name, piece in zip(batch.column(0), batch.column(1), strict=True))
+        for name, held in itertools.groupby(rows, key=lambda r: r[0]):
+            yield name, io.BufferedReader(_Joined(piece.as_py() for _, piece in held))
+
+    def table(df: DataFrame, opened) -> DataFrame:
+        def go(batches):
+            rows, held = [], 0
+            for name, source in opened(batches):
                 for row in chunks(source, name, chunk_bytes):
                     rows.append(row)
                     held += len(row[8]) + 400
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                         rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        return df.mapInArrow(go, CHUNKS)
 
-    return (files.select("path") if local else files.select("path", "content")).mapInArrow(go, CHUNKS)
+    if path.startswith(("/", "file:")):
+        return table(spark.read.format("binaryFile").load(path).select("path"), files)
+    gzipped = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
+    others = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path)
+    return table(gzipped.select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("piece")), lines).unionByName(table(others.select("path", "content"), contents))
 
 
 def page_records(table: DataFrame) -> DataFrame:
