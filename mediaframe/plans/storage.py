@@ -14,6 +14,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that spark.checkpoint.dir names, or below one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="mediaframe-")
