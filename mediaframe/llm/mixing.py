@@ -165,10 +165,13 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def report(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLOCKS, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the mix takes of every row."""
+    """doc_id, size, source_size, target, taken, shards: what the mix takes of every row, and the output shards that draw it.
+
+    A row that two draws take counts twice, in the shards that the splitting tree gives those draws.
+    """
     docs = docs.select("doc_id", "text", "source")
     rows = _drawn(docs, shards, seed, blocks, weights)
-    return rows.select("doc_id", _words().alias("size"), "__mix").select("doc_id", "size", "__mix.source_size", "__mix.target", (F.col("size") * F.size("__mix.draws")).alias("taken"))
+    return rows.select("doc_id", _words().alias("size"), "__mix").select("doc_id", "size", "__mix.source_size", "__mix.target", (F.col("size") * F.size("__mix.draws")).alias("taken"), F.array_join(F.transform("__mix.draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 
 def op3_mixing_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
