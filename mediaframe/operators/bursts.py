@@ -11,7 +11,7 @@ from mediaframe.functions import quality
 GAP = 5
 
 
-def sessions(df: DataFrame, at: str, key: str, gap: int = GAP, least: int = 2, by: list[str] | None = None, bucket: int = 10) -> DataFrame:
+def sessions(df: DataFrame, at: str, key: str, gap: int = GAP, least: int = 2, by: list[str] | None = None, bucket: int = 13) -> DataFrame:
     """df's rows in sessions of at least ``least``, with first_id (the session's first key) and session_size.
 
     at: a zoneless timestamp; rows in its order, ties by key. A session ends where the distance to the
@@ -52,6 +52,17 @@ def best(members: DataFrame, group: str, value: str, order: list[str], flag: str
     return members.join(top, group).withColumn(flag, F.struct(value, *order).eqNullSafe(F.col("__top"))).drop("__top")
 
 
+def analyze(media: DataFrame, exif: DataFrame, sharp: Column, exposed: Column, gap: int = GAP) -> DataFrame:
+    """The whole burst job: images with a capture date, their sessions, scores, and the best of each session.
+
+    media's and exif's columns with first_id (the session), session_size, the three scores and is_best.
+    """
+    taken = F.concat(F.replace(F.substring("date_taken", 1, 10), F.lit(":"), F.lit("-")), F.substring("date_taken", 11, 9)).try_cast("timestamp_ntz")
+    rows = media.where("media_type = 'image'").join(exif.withColumnRenamed("media_id", "id"), "id").withColumn("taken", taken)
+    scored = score(sessions(rows, "taken", "id", gap), "first_id", sharp, exposed)
+    return best(scored, "first_id", "quality_score", ["taken", "id"])
+
+
 def review_marks(media: DataFrame, bursts: DataFrame, scores: DataFrame, floor: float = 40.0) -> DataFrame:
     """id, mark: a burst's best is kept and its others discarded; else a score below the floor discards."""
     rows = media.select("id").join(bursts.select(F.col("media_id").alias("id"), "is_best"), "id", "left").join(scores.select(F.col("media_id").alias("id"), "score"), "id", "left")

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.functions import dates, paths, text
+from mediaframe.plans.storage import materialize
 
 MEDIA_COLUMNS = ["id", "file_path", "original_path", "file_name", "file_size", "mime_type", "sha256_hash", "quick_hash", "phash", "width", "height", "media_type", "created_at", "modified_at", "scanned_at", "source_type", "scan_phase"]
 
@@ -94,6 +96,22 @@ def sorted_media(media: DataFrame, exif: DataFrame, key: str, descending: bool =
     return rows.orderBy(keys[key].desc_nulls_last() if descending else keys[key].asc_nulls_first(), F.col("id"))
 
 
+def places(ordered: DataFrame) -> DataFrame:
+    """A sorted DataFrame with place, each row's number from 1: counts per sorted partition and the place within it."""
+    held = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    counts = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
+    return held.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
+
+
+def badges(media: DataFrame, uploads: DataFrame) -> DataFrame:
+    """media with is_uploaded and has_comment."""
+    up = uploads.where("media_id is not null").select(F.col("media_id").alias("id")).distinct().withColumn("__up", F.lit(True))
+    rows = media.join(up, "id", "left").withColumn("is_uploaded", F.col("__up").isNotNull())
+    return rows.withColumn("has_comment", F.coalesce(F.col("comment") != "", F.lit(False))).drop("__up")
+
+
 def pixels() -> Column:
     return F.coalesce(F.col("width").cast("long"), F.lit(0)) * F.coalesce(F.col("height").cast("long"), F.lit(0))
 

@@ -11,6 +11,7 @@ from mediaframe.operators.components import connected_components
 from mediaframe.plans.storage import materialize
 
 FLOOR = 102_400  # bytes; files must be larger
+BROADCAST_ROWS = 500_000  # sizes or short hashes that are broadcast
 BUCKET_CAP = 500  # larger buckets are skipped: part of the result's definition
 THRESHOLD = 5
 
@@ -23,14 +24,21 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 def exact_groups(files: DataFrame, floor: int = FLOOR, size: str = "file_size", content: str = "content", key: str = "id") -> DataFrame:
     """group_id, id, size, is_preferred: members of groups with equal content.
 
-    Sizes that occur once drop out, then quick hashes that occur once, then full hashes. Contents are
-    hashed where they are read, so what the narrowing joins shuffle is hashes, never contents. A group
-    is named by its smallest member, which is the preferred one. Null content drops out.
+    Sizes that occur once drop out, then quick hashes that occur once, then full hashes. The sizes and
+    quick hashes that repeat are broadcast where they are few enough, so that contents which drop out are
+    not hashed; where they are too many the hashes are made at once and joined, for contents are never
+    shuffled. A group is named by its smallest member, which is the preferred one. Null content drops out.
     """
-    above = files.where(F.col(content).isNotNull() & (F.col(size) > floor))
-    rows = above.select(F.col(key).alias("id"), F.col(size).alias("size"), hashing.quick_hash(F.col(content)).alias("quick"), hashing.full_hash(F.col(content)).alias("full"))
-    sizes = above.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n")).where("n > 1").select("size")  # reads the size column alone
-    return _groups(rows.join(sizes, "size", "left_semi"))
+    above = files.where(F.col(content).isNotNull() & (F.col(size) > floor)).select(F.col(key).alias("id"), F.col(size).alias("size"), F.col(content).alias("content"))
+    sizes = materialize(above.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "sizes")  # reads the size column alone
+    if sizes.count() > BROADCAST_ROWS:
+        rows = above.select("id", "size", hashing.quick_hash(F.col("content")).alias("quick"), hashing.full_hash(F.col("content")).alias("full"))
+        return _groups(rows.join(sizes, "size", "left_semi"))
+    above = above.join(F.broadcast(sizes), "size", "left_semi").withColumn("quick", hashing.quick_hash(F.col("content")))
+    quick = materialize(above.groupBy("size", "quick").agg(F.count("*").alias("n")).where("n > 1").select("size", "quick"), "quick")
+    if quick.count() <= BROADCAST_ROWS:
+        above = above.join(F.broadcast(quick), ["size", "quick"], "left_semi")
+    return _groups(above.select("id", "size", "quick", hashing.full_hash(F.col("content")).alias("full")))
 
 
 def exact_groups_of_files(listing: DataFrame, floor: int = FLOOR, path: str = "file_path", size: str = "file_size") -> DataFrame:
@@ -110,6 +118,36 @@ def similar_pairs(hashes: DataFrame, threshold: int = THRESHOLD, cap: int = BUCK
     return left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
 
 
+def similar_pairs_exact(hashes: DataFrame, threshold: int = THRESHOLD, key: str = "id", phash: str = "phash") -> DataFrame:
+    """a, b, distance: every two different hashes within the threshold, by the smallest ids that hold them, and
+    every other holder of a hash with its smallest.
+
+    No bucket is skipped. The 64 bits are cut into threshold / 2 + 1 bands, so two hashes within the
+    threshold differ by at most one bit in some band: one side looks up its bands, the other its bands
+    and what is one bit away from them. With the threshold of 5 a band has 21 or 22 bits, so a bucket of N
+    different hashes holds about N / 2 million of them.
+    """
+    rows = hashes.where(F.col(phash).isNotNull()).select(F.col(key).alias("id"), F.col(phash).alias("h"))
+    distinct = materialize(rows.groupBy("h").agg(F.min("id").alias("id")), "hashes")
+    parts = threshold // 2 + 1
+    ends = [64 * i // parts for i in range(parts + 1)]
+    cut = lambda i: F.shiftrightunsigned("h", 64 - ends[i + 1]).bitwiseAND((1 << (ends[i + 1] - ends[i])) - 1)
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), cut(i).alias("value")) for i in range(parts)))
+    near = [F.struct(F.lit(i).alias("band"), cut(i).bitwiseXOR(F.lit(flip)).alias("value")) for i in range(parts) for flip in [0, *(1 << k for k in range(ends[i + 1] - ends[i]))]]
+    left = distinct.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(bands))
+    right = distinct.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(F.array(*near)))
+    distance = hashing.hamming(F.col("ha"), F.col("hb"))
+    pairs = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
+    copies = rows.join(distinct.select("h", F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return pairs.unionByName(copies)
+
+
+def similar_savings(clusters: DataFrame, media: DataFrame) -> DataFrame:
+    """cluster, n, saved: what deleting all but the largest file of each cluster frees."""
+    rows = clusters.join(media.select(F.col("id").alias("node"), "file_size"), "node")
+    return rows.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"), (F.sum("file_size") - F.max("file_size")).alias("saved"))
+
+
 def similar_clusters(pairs: DataFrame) -> DataFrame:
     """node, label: members of clusters, which are named by their smallest member."""
     return connected_components(pairs)

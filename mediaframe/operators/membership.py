@@ -104,6 +104,27 @@ def resolve_after_trash(tables: dict[str, DataFrame], trashed: DataFrame) -> dic
 # ---- tags and albums --------------------------------------------------------------------------
 
 
+def create_tag(tags: DataFrame, tag: DataFrame) -> DataFrame:
+    """tag: one row or more; a name that is taken stays with its tag."""
+    return insert_or_ignore(tags, tag, ["name"])
+
+
+def delete_rows(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is not among those of gone: untag, remove from an album."""
+    return table.join(gone.select(*key), key, "left_anti")
+
+
+def delete_with_members(table: DataFrame, members: DataFrame, gone, reference: str) -> tuple[DataFrame, DataFrame]:
+    """A tag or an album without the row ``gone``, and its memberships without those that refer to it."""
+    return table.where(F.col("id") != gone), members.where(F.col(reference) != gone)
+
+
+def write_hashes(media: DataFrame, hashes: DataFrame, columns: tuple[str, ...] = ("sha256_hash", "phash")) -> DataFrame:
+    """media with newly computed hashes written over the cached ones; null leaves what is there."""
+    new = hashes.select("id", *(F.col(c).alias(f"__{c}") for c in columns))
+    return media.join(new, "id", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(*media.columns)
+
+
 def tags_of(media_tags: DataFrame, tags: DataFrame, media_id) -> DataFrame:
     return media_tags.where(F.col("media_id") == media_id).join(tags.withColumnRenamed("id", "tag_id"), "tag_id").orderBy("name")
 

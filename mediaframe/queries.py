@@ -83,15 +83,9 @@ def media_grouped(r: Roles) -> DataFrame:
     return catalog.grouped(r.media(), r.exif(), "folder").withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
-@query(
-    """SELECT id, CAST(row_number() OVER (ORDER BY coalesce(width, 0)::BIGINT * coalesce(height, 0) DESC, id) AS INTEGER) AS place FROM media QUALIFY place <= 50""",
-    "media",
-)
+@query("SELECT id, row_number() OVER (ORDER BY coalesce(width, 0)::BIGINT * coalesce(height, 0) DESC, id) AS place FROM media", "media")
 def media_sorted_by_pixels(r: Roles) -> DataFrame:
-    top = catalog.sorted_media(r.media(), r.exif(), "pixels", descending=True).limit(50).select("id", catalog.pixels().alias("p"))
-    from pyspark.sql import Window as W
-
-    return top.select("id", F.row_number().over(W.orderBy(F.desc("p"), "id")).alias("place"))
+    return catalog.places(catalog.sorted_media(r.media(), r.exif(), "pixels", descending=True)).select("id", "place")
 
 
 DASHBOARD = f"""
@@ -298,12 +292,16 @@ def burst_sessions(r: Roles) -> DataFrame:
     return rows.groupBy("first_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _sessions("", 5) + "SELECT first_id, event_id AS best_id, CASE WHEN m > 0 THEN least(value / m * 100.0, 100.0) ELSE 50.0 END AS score FROM (SELECT *, max(value) OVER (PARTITION BY g) AS m FROM b WHERE n >= 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY value DESC, ts DESC, event_id DESC) = 1")
+@query(
+    "WITH " + _sessions("", 5) + """, m AS (SELECT *, least(value / 20.0, 100.0) * 0.45 + 50.0 * 0.30 + 50.0 * 0.15 + CASE WHEN max(size) OVER (PARTITION BY g) > 0 THEN least(size::DOUBLE / max(size) OVER (PARTITION BY g) * 100.0, 100.0) ELSE 50.0 END * 0.10 AS q
+      FROM (SELECT *, event_id % 1000 AS size FROM b WHERE n >= 2))
+    SELECT first_id, event_id AS best_id, round(q, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY g ORDER BY q DESC, ts DESC, event_id DESC) = 1"""
+)
 def burst_best(r: Roles) -> DataFrame:
-    rows = bursts.sessions(r.table("events"), "ts", "event_id")
-    top = rows.groupBy("first_id").agg(F.max(F.struct("value", "ts", "event_id")).alias("t"))
-    score = F.when(F.col("t.value") > 0, F.least(F.col("t.value") / F.col("t.value") * 100.0, F.lit(100.0))).otherwise(50.0)
-    return top.select("first_id", F.col("t.event_id").alias("best_id"), score.alias("score"))
+    none = F.lit(None).cast("int")
+    rows = bursts.sessions(r.table("events"), "ts", "event_id").withColumns({"width": none, "height": none, "file_size": F.col("event_id") % 1000})
+    scored = bursts.score(rows, "first_id", F.col("value"), F.lit(None).cast("double"))
+    return bursts.best(scored, "first_id", "quality_score", ["ts", "event_id"]).where("is_best").select("first_id", F.col("event_id").alias("best_id"), F.round("quality_score", 6).alias("score"))
 
 
 @query("WITH " + _sessions("user_id", 300) + "SELECT DISTINCT user_id, first_id, CAST(n AS BIGINT) AS n FROM b WHERE n >= 2")
@@ -466,9 +464,10 @@ def geo_cells(r: Roles) -> DataFrame:
     return geo.clusters(r.positions(), at="id")
 
 
-@query("SELECT id, lat FROM positions WHERE lat IS NOT NULL AND lng IS NOT NULL ORDER BY id DESC LIMIT 100", "positions")
+@query("SELECT m.id, p.lat FROM media m JOIN positions p ON p.id = m.id WHERE p.lat IS NOT NULL AND p.lng IS NOT NULL ORDER BY m.modified_at DESC, m.id LIMIT 1000", "media", "positions")
 def gps_latest(r: Roles) -> DataFrame:
-    return r.positions().where("lat is not null and lng is not null").orderBy(F.desc("id")).limit(100).select("id", "lat")
+    exif = r.positions().select(F.col("id").alias("media_id"), F.col("lat").alias("gps_latitude"), F.col("lng").alias("gps_longitude"), F.lit(None).cast("string").alias("date_taken"))
+    return catalog.gps_media(r.media(), exif).select("id", F.col("gps_latitude").alias("lat"))
 
 
 # ---- journal and ingest -----------------------------------------------------------------------
@@ -691,3 +690,7 @@ def quality_scores(r: Roles) -> DataFrame:
     rows = r.table("embeddings").select(F.col("vec_id").alias("id"), gray.alias("pixels"), F.lit(8).alias("width"))
     rows = rows.select("id", quality.sharpness("pixels", "width").alias("sharp"), quality.exposure("pixels", "width").alias("exposed"))
     return rows.select("id", "sharp", "exposed", quality.quick_score(quality.sharpness_score(F.col("sharp")), quality.exposure_score(F.col("exposed"))).alias("score"))
+
+
+# Registers more queries of the same kind.
+from mediaframe import state_queries as _state_queries  # noqa: E402, F401
