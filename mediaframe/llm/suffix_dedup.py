@@ -260,7 +260,11 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length % PARTS or not SEED <= length <= 60 * PARTS:
         raise ValueError(f"length must be a multiple of {PARTS} from {SEED} to {60 * PARTS}")
     docs = docs.select("text")
-    found = materialize(_copies(repeated_runs(docs, repeated_seeds(docs, length), length)), "found-runs")
+    seeds = repeated_seeds(docs, length)
+    rows = repeated_runs(docs, seeds, length)
+    release(seeds)
+    found = materialize(_copies(rows), "found-runs")
+    release(rows)
     spans = _spans(docs, found.where("open").select("node", "anchor", "first", "last"), length)
     return found.where("again").select("node", "first", "last", F.lit(0).cast("long").alias("mask")).unionByName(_doubled(spans, length))
 
