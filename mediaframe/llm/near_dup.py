@@ -11,8 +11,8 @@ Texts that share a band of registers are candidates; links are the pairs whose s
 Jaccard similarity of at least 0.8, checked on the sets themselves. Equal texts are one node from the
 start. In a bucket every text is compared with the bucket's hub, the text that shares most buckets with
 most texts; a bucket that is then one component is done, so groups of thousands of copies never make all
-their pairs. In the others all pairs across components are compared, in
-blocks of bounded size, and only links that connect something more leave a block.
+their pairs. In the others pairs across components are compared, large buckets by the rare shingles
+that linked sets must share, and only links that connect something more leave a task.
 
 Words are runs of letters, digits and marks of any script, lower-cased; in scripts that do not put spaces
 between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) every letter is a word.
@@ -176,18 +176,47 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def rare_prefixes(facts: DataFrame, similar: float) -> DataFrame:
+    """token, node: the rarest shingles of each set, so many that two sets with a link share one of them.
+
+    Sets of which each holds ``similar`` of the other's share one of the first n - ceil(similar * n) + 1
+    shingles in any one order of all; here by the number of sets that hold a shingle, the rare ones first.
+    """
+    tokens = facts.select("node", F.explode("shingles").alias("token"))
+    held_by = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
+    shared = tokens.join(held_by, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
+    n = F.size("shingles")
+    first = n - F.ceil(similar * n - 1e-9).cast("int") + 1 - (n - F.size("shared"))  # those that no other set holds come before
+    rows = shared.join(facts.select("node", "shingles"), "node").select("node", F.slice("shared", F.lit(1), F.greatest(first, F.lit(0))).alias("rare"))
+    return rows.select("node", F.explode("rare.token").alias("token"))
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """rows (bucket, label, ...) of the buckets in which several components meet."""
+    return rows.join(rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "bucket")
+
+
 def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
     """Links between the components that still meet in a bucket of more than two texts.
 
-    The members of such a bucket are dealt to blocks and every two blocks are compared in one task, sets
-    and all. A pair is compared where its first band meets, unless its ends are connected already, and of
-    the links only those that connect something more leave the task: fewer rows than texts in it.
+    The members of a bucket of up to BLOCK texts are compared in one task, sets and all. Those of larger
+    buckets are dealt out anew by their rarest shingles, one of which any two linked sets share; where
+    even such a shingle is in more than BLOCK of them, its holders are dealt to blocks and every two blocks
+    are compared in one task. A pair is compared unless its ends are connected already, and of the links
+    only those that connect something more leave the task: fewer rows than texts in it.
     """
     rows = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    rows = materialize(rows.join(split, "bucket").select("bucket", "band", "node", "n", "label"), "unresolved")
+    rows = materialize(_split(rows).select("bucket", "band", "node", "n", "label"), "unresolved")
     wanted = distinct.join(rows.select("node").distinct(), "node", "left_semi")
     facts = materialize(wanted.select("node", "sig").join(shingle_sets(docs, wanted.select("node", "doc_id")), "node"), "facts")
+    large = rows.where(F.col("n") > BLOCK).select("node", "label").distinct()
+    rows = rows.where(F.col("n") <= BLOCK)
+    if large.limit(1).count():
+        rare = rare_prefixes(facts.join(large.select("node"), "node", "left_semi"), similar)
+        dealt = rare.join(large, "node").select(F.xxhash64(F.lit(9), "token").alias("bucket"), F.lit(0).alias("band"), "node", "label")
+        dealt = materialize(_split(dealt), "rare")
+        dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        rows = rows.unionByName(dealt.select(*rows.columns))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
