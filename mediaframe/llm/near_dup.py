@@ -265,8 +265,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     # Texts without words keep to themselves: they have no node.
     named = signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("node")).alias("node")).join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(groups, "label", "left").select("doc_id", "node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    groups = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    groups = _shared(materialize(groups, "classes"))  # written, so that the join below is free to split the rows of a large class
+    return named.join(groups, "label", "left").select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
