@@ -13,7 +13,7 @@ from mediaframe.plans.storage import materialize, release, shared_dir
 __all__ = ["KEPT", "configure", "held_out", "map_rows", "materialize", "nested", "read", "release", "shared_dir"]
 
 #: Bounds of an Arrow batch handed to Python, the same for every operator: whichever is met first.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def configure(spark: SparkSession) -> None:
