@@ -81,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
     h = F.xxhash64("doc_id")
     # one short document per class and hash bucket; the aggregate is at most 2 * per_class rows
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    fits = docs.where(F.length("text") <= longest).select("doc_id").distinct()
+    fits = docs.where(F.length("text") <= longest).select("doc_id")
     picked = known.join(fits, "doc_id", "left_semi").groupBy("toxic", F.pmod(h, F.lit(per_class)).alias("bucket")).agg(F.min_by("doc_id", h).alias("doc_id"))
     texts = docs.where(F.length("text") <= longest).join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
