@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mediaframe.plans.storage import materialize, release, shared_dir
 
-__all__ = ["KEPT", "configure", "held_out", "map_rows", "materialize", "nested", "read", "release", "shared_dir"]
+__all__ = ["KEPT", "aside", "configure", "held_out", "map_rows", "materialize", "nested", "read", "release", "shared_dir"]
 
 #: Bounds of an Arrow batch handed to Python, the same for every operator: whichever is met first.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
@@ -33,6 +33,16 @@ def read(spark: SparkSession, sf_dir: str, table: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns beside those used named x0, x1 and so on, and what gives a result of them its names back.
+
+    So no column can clash with one that an operator makes on the way, whatever it is called.
+    """
+    names = docs.columns
+    plain = [c if c in used else f"x{i}" for i, c in enumerate(names)]
+    return docs.toDF(*plain), lambda out: out.select(*plain).toDF(*names)
+
+
 #: Caches that Python workers keep between tasks, cleared as soon as a worker turns to something else.
 KEPT: list = []
 

@@ -15,7 +15,8 @@ each as keeps all of them below ``total`` characters. Texts are parsed whole, in
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language
 that sorts first; without labelled text everything is ``und``; rows with null lang or null doc_id
-teach nothing.
+teach nothing; repeated rows are each a row of the result; the empty table gives no rows. Columns beside those
+read are kept by keep_known(), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import held_out, map_rows, read
+from mediaframe.llm.common import aside, held_out, map_rows, read
 
 UND = "und"
 DENSE = 128  # classes with a column in the dense table; the transitions of all others are looked up by key
@@ -143,7 +144,8 @@ def fold(text: str) -> str:
     return text.lower()
 
 
-def train(docs: DataFrame, buckets: int = 128, window: int = 256, total: int = 1 << 18) -> Model | None:
+def samples(docs: DataFrame, buckets: int = 128, window: int = 256, total: int = 1 << 18) -> dict[str, str]:
+    """The labelled text that each language is known by."""
     h = F.xxhash64("doc_id", "text")
     at = F.lit(1) + F.pmod(F.xxhash64(F.lit(1), h), F.greatest(F.lit(1), F.length("text") - window))
     # one bounded window per language and bucket: nothing grows with the rows of a language
@@ -152,10 +154,14 @@ def train(docs: DataFrame, buckets: int = 128, window: int = 256, total: int = 1
     parts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.b)):
         parts.setdefault(r.lang, []).append(fold(r.t))
-    if not parts:
-        return None
-    most = max(1, total // len(parts))
-    return Model({k: "\n".join(v)[:most] for k, v in parts.items()})
+    most = max(1, total // max(1, len(parts)))
+    return {k: "\n".join(v)[:most] for k, v in parts.items()}
+
+
+def train(docs: DataFrame, **bounds: int) -> Model | None:
+    """The automata of the samples; bounds as in samples()."""
+    known = samples(docs, **bounds)
+    return Model(known) if known else None
 
 
 def classify(docs: DataFrame, keep: list[str], model: Model | None, text: str = "text", stretch: int = 2048, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -180,8 +186,9 @@ def classify(docs: DataFrame, keep: list[str], model: Model | None, text: str =
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without the rows that are ``und``."""
+    docs, renamed = aside(docs, "doc_id", "text", "lang")
     named = classify(docs, docs.columns, train(docs), names=("__lang_pred", "__lang_score"))
-    return named.where(F.col("__lang_pred") != UND).select(*docs.columns)
+    return renamed(named.where(F.col("__lang_pred") != UND))
 
 
 def op9_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaframe.llm.common import let_go, materialize, read
+from mediaframe.llm.common import aside, let_go, materialize, read
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -159,9 +159,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLOC
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs' columns of the mix, dealt out by shard and shuffled within each."""
+    docs, renamed = aside(docs, "doc_id", "text", "source")
     shards = max(SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = mix(docs, shards, seed)
-    return rows.repartitionById(shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    return renamed(rows.repartitionById(shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__place"))
 
 
 def report(docs: DataFrame, shards: int = SHARDS, seed: int = 0, blocks: int = BLOCKS, weights: tuple = WEIGHTS) -> DataFrame:

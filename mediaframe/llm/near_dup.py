@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import map_rows, materialize, read, release
+from mediaframe.llm.common import aside, map_rows, materialize, read, release
 from mediaframe.operators.components import connected_components
 
 WORDS = 5
@@ -246,7 +246,7 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, node, class_id, class_size, one row per document; class_id is the class's smallest doc_id."""
+    """doc_id, node, label, class_id, class_size, one row per document; class_id is the smallest doc_id of those with a label."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs), "signatures")
     distinct = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).where("sig is not null"), "distinct")
@@ -267,25 +267,28 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     named = signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("node")).alias("node")).join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
     groups = _shared(materialize(groups, "classes"))  # written, so that the join below is free to split the rows of a large class
-    return named.join(groups, "label", "left").select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return named.join(groups, "label", "left").select("doc_id", "node", "label", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs without all but one document of each class, the one with the smallest doc_id."""
+    """docs without all but one row of each class: of the rows with its smallest doc_id one with the smallest node."""
+    docs, renamed = aside(docs, "doc_id", "text")
     named = materialize(classes(docs, similar), "classes")
-    ids = named.where((F.col("class_size") > 1) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
-    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    gone = ids.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone"))
-    rows = docs.withColumn("__node", node)
-    small = ids.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(gone) if small else gone, (F.col("__node") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = named.where((F.col("class_size") > 1) & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count().where("count > 1")
-    if again.limit(1).count():  # rows that repeat the document that stays
-        twice = again.select(F.col("class_id").alias("__id"))
-        marked = rows.join(twice, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-        once = marked.where("__id is not null").dropDuplicates(["doc_id"])
-        rows = marked.where("__id is null").unionByName(once).drop("__id")
-    return rows.drop("__node")
+    several, first = F.col("class_size") > 1, F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = named.where(several & ~first).select("doc_id", "node")
+    # classes in which several rows have the smallest doc_id, or all of them none
+    again = materialize(named.where(several & first).groupBy("label").agg(F.first("doc_id").alias("__id"), F.min("node").alias("__stay"), F.count("*").alias("n")).where("n > 1"), "again")
+    repeats = again.limit(1).count() > 0
+    if repeats:
+        gone = gone.unionByName(named.where(several & first).join(_shared(again), "label").where("node <> __stay").select("doc_id", "node"))
+    gone = materialize(gone.distinct().select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone")), "gone")
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = rows.join(_shared(gone), (F.col("__node") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    if repeats:
+        twice = again.select("__id", "__stay")
+        marked = rows.join(_shared(twice), (F.col("__node") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        rows = marked.where("__stay is null").unionByName(marked.where("__stay is not null").dropDuplicates(["doc_id", "__node"]))
+    return renamed(rows)
 
 
 def op8_probminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

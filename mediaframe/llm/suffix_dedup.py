@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import map_rows, materialize, nested, read, release
+from mediaframe.llm.common import aside, map_rows, materialize, nested, read, release
 from mediaframe.llm.near_dup import mix, powers
 
 LENGTH = 200
@@ -331,11 +331,12 @@ def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kept = None if text is None else cut(_raw(text), first, last, length)[0].decode("utf-8", "ignore")
         return kept, len(kept or "")
 
+    docs, renamed = aside(docs, "text", "n_chars")
     others = [c for c in docs.columns if c != "text"]
     out = apply(docs, others, "__kept string, __chars long", one, length).withColumnRenamed("__kept", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.col("__chars").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return renamed(out)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
