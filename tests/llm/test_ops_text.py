@@ -133,6 +133,40 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_brute_force(spark):
+    """Samples from learnable rows only; every prediction and score recomputed by longest matches in the samples."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(10_001, "\u4f60\u597d, hello \U0001f600 welt", None, None, 9), (10_002, "Le Chat " * 600, "xx", None, 9), (None, "nobody", "yy", None, 9)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    known = language.samples(docs)
+    teach = defaultdict(list)
+    for i, r in rows.items():
+        if i is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            teach[r.lang].append(r.text.lower())
+    assert set(known) == set(teach)
+    assert all(any(part in t for t in teach[lang]) for lang, sample in known.items() for part in sample[:3000].split("\n")[:-1] if part)
+    got = language.classify(docs, ["doc_id"], language.train(docs), stretch=2048).collect()
+    assert len(got) == len(rows)
+    for r in sorted(got, key=lambda r: str(r.doc_id))[:40] + [r for r in got if r.doc_id is None or r.doc_id > 10_000]:
+        text, cost = rows[r.doc_id].text or "", {}
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        text = text.lower()
+        for lang, sample in known.items():
+            n = 0
+            for a in range(0, len(text), 2048):
+                part, at = text[a : a + 2048], 0
+                while at < len(part):
+                    end = at + 1
+                    while end < len(part) and part[at : end + 1] in sample:
+                        end += 1
+                    n, at = n + 1, end
+            cost[lang] = n * np.log2(max(2, len(sample))) / len(text)
+        first, second = sorted(cost, key=lambda k: (cost[k], k))[:2]
+        assert r.lang_pred == first and r.score == pytest.approx(1 - cost[first] / cost[second], abs=1e-9)
+    assert language.classify(docs.limit(0), ["doc_id"], language.train(docs)).count() == 0
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, None, "en", "a"), (2, "12 !?", "en", "b"), (3, "the cat sat", "en", "c"), (None, "x", None, "d"), (5, "le chat", "fr", "e")], "doc_id long, text string, lang string, lang_pred string")
     model = language.Model({"en": "the cat sat on the mat", "fr": "le chat est la"})
@@ -591,6 +625,8 @@ def test_topk_large_components(spark):
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert topk.exact_topk(df, F.col("vec_id") == 0).count() == 2
+    clashing = df.selectExpr("*", "1 AS v", "2 AS query_id", "3 AS rank", "4 AS score", "5 AS q")
+    assert topk.exact_topk(clashing, F.col("vec_id") == 0).collect() == topk.exact_topk(df, F.col("vec_id") == 0).collect()
     assert topk.exact_topk(df, F.col("vec_id") == 9).count() == 0 and topk.exact_topk(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
