@@ -300,7 +300,10 @@ def test_near_dup_joined_instead_of_broadcast(spark, monkeypatch):
     assert got == expected_classes([d.doc_id for d in docs], [d.text for d in docs])
 
 
-def test_near_dup_edges(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_dup_edges(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "two words", 3), (4, "Two, WORDS!", 4), (5, "...", 5), (None, "two words", 6), (7, "two words", 7), (3, "two words", 8)], "doc_id long, text string, node int")
     rows = [(r.doc_id, r.class_id, r.class_size) for r in near_dup.classes(df).collect()]
     assert sorted(rows, key=str) == sorted([(1, 1, 1), (2, 2, 1), (5, 5, 1), (3, 3, 5), (3, 3, 5), (4, 3, 5), (None, 3, 5), (7, 3, 5)], key=str)
