@@ -70,6 +70,11 @@ def media_page(media: DataFrame, exif: DataFrame, facets: Facets = Facets(), lim
     return rows.orderBy(dates.effective_date(F.col("date_taken"), F.col("modified_at")).desc_nulls_last(), F.col("id")).offset(offset).limit(limit)
 
 
+def recent_page(media: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page by modification alone, newest first, ties by id."""
+    return media.orderBy(F.col("modified_at").desc_nulls_last(), "id").offset(offset).limit(limit)
+
+
 def media_count(media: DataFrame, facets: Facets = Facets(), **membership) -> DataFrame:
     return select_media(media, facets, **membership).agg(F.count("*").alias("total"))
 

@@ -56,6 +56,31 @@ def date_folder_plan(folders: DataFrame, path: str = "path") -> DataFrame:
     return rows.join(there, "target", "left").select("path", "target", F.coalesce("there", F.lit(False)).alias("merges"))
 
 
+def date_folder_scan(folders: DataFrame, entries: DataFrame) -> DataFrame:
+    """date_folder_plan() of folders with conflict_count: the entries that the target holds already.
+
+    entries: path, the files and folders that lie in them.
+    """
+    held = entries.groupBy(paths.parent_of(F.col("path")).alias("target")).agg(F.count("*").alias("conflict_count"))
+    return date_folder_plan(folders).join(held, "target", "left").select("path", "target", "merges", F.coalesce("conflict_count", F.lit(0)).alias("conflict_count"))
+
+
+def date_folder_moves(folders: DataFrame, entries: DataFrame, merge: bool = True) -> DataFrame:
+    """source, target: renames of date folders; where the target is there, its entries move in under free names.
+
+    entries as in date_folder_scan(). Without merge, folders whose target is there stay where they are.
+    """
+    plan = date_folder_plan(folders)
+    renamed = plan.where("not merges").select(F.col("path").alias("source"), "target")
+    if not merge:
+        return renamed
+    placed = entries.select("path", paths.parent_of(F.col("path")).alias("parent"))
+    into = plan.where("merges").select(F.col("path").alias("parent"), F.col("target").alias("folder"))
+    moves = placed.join(into, "parent").select(F.col("path").alias("source"), F.concat("folder", F.lit("/"), paths.file_name(F.col("path"))).alias("target"))
+    there = placed.join(into.select(F.col("folder").alias("parent")).distinct(), "parent", "left_semi").select("path")
+    return renamed.unionByName(resolve_collisions(moves, there).where("final_target is not null").select("source", F.col("final_target").alias("target")))
+
+
 def classify_by_name(name: Column, size: Column) -> Column:
     """(folder, confidence) by the name alone, or null."""
     low = F.lower(name)

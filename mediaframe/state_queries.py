@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.fixtures import Roles
-from mediaframe.functions import hashing, text
+from mediaframe.functions import hashing, paths, text
 from mediaframe.operators import bursts, catalog, duplicates, journal, membership, organize
-from mediaframe.queries import EXACT, query
+from mediaframe.queries import EXACT, FOLDER, query
 from mediaframe.sources import volumes
 
 # ---- lists ------------------------------------------------------------------------------------
@@ -179,6 +179,40 @@ def move_collisions_with_existing(r: Roles) -> DataFrame:
     return organize.resolve_collisions(plan, there).select(F.col("doc_id").alias("id"), "final_target")
 
 
+DATED = f"""+ f AS (SELECT id, file_name, path, dir || '/' || substr(name, 1, 4) || '-' || substr(name, 5, 2) || '-' || substr(name, 7) AS target FROM (
+  SELECT id, file_name, {FOLDER} AS path, regexp_extract({FOLDER}, '^(.*)/[^/]*$', 1) AS dir, regexp_extract({FOLDER}, '[^/]*$') AS name FROM media) WHERE regexp_matches(name, '^[0-9]{{8}}')),
+p AS (SELECT path, target, count(*) FILTER (id % 3 = 0 AND path LIKE '/lib/src1/%') AS n FROM f GROUP BY path, target)
+"""
+
+
+def _dated(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """Folders and their entries; below src1 a third of the files lie in the folder with the new name too."""
+    old = r.media().select("id", "file_name", "file_path", paths.parent(F.col("file_path"), F.col("file_name")).alias("path"))
+    named = organize.date_folder_plan(old.select("path").distinct()).where("path like '/lib/src1/%'").select("path", "target")
+    new = old.where("id % 3 = 0").join(named, "path").select("file_name", F.col("target").alias("path"))
+    entries = old.select(F.col("file_path").alias("path")).unionByName(new.select(F.concat("path", F.lit("/"), "file_name").alias("path")))
+    return old.select("path").unionByName(new.select("path")).distinct(), entries
+
+
+@query(DATED + "SELECT path, target, n > 0 AS merges, n AS conflict_count FROM p", "media")
+def date_folder_conflicts(r: Roles) -> DataFrame:
+    return organize.date_folder_scan(*_dated(r))
+
+
+@query(
+    DATED + """SELECT f.path || '/' || file_name AS source, f.target || '/' || CASE WHEN id % 3 = 0 THEN regexp_replace(file_name, '([.][^.]*)$', ' (1)\\1') ELSE file_name END AS target
+    FROM f JOIN p ON f.path = p.path WHERE n > 0 UNION ALL SELECT path, target FROM p WHERE n = 0""",
+    "media",
+)
+def date_folder_merges(r: Roles) -> DataFrame:
+    return organize.date_folder_moves(*_dated(r))
+
+
+@query("SELECT id, file_path, file_name, file_size, media_type FROM media ORDER BY modified_at DESC, id LIMIT 20 OFFSET 20", "media")
+def recent_page(r: Roles) -> DataFrame:
+    return catalog.recent_page(r.media(), offset=20).select("id", "file_path", "file_name", "file_size", "media_type")
+
+
 # ---- functions --------------------------------------------------------------------------------
 
 
