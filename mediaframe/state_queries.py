@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediaframe.fixtures import Roles
 from mediaframe.functions import hashing, paths, text
 from mediaframe.operators import bursts, catalog, duplicates, journal, membership, organize
+from mediaframe.plans.storage import materialize
 from mediaframe.queries import EXACT, FOLDER, query
 from mediaframe.sources import volumes
 
@@ -188,7 +189,8 @@ p AS (SELECT path, target, count(*) FILTER (id % 3 = 0 AND path LIKE '/lib/src1/
 def _dated(r: Roles) -> tuple[DataFrame, DataFrame]:
     """Folders and their entries; below src1 a third of the files lie in the folder with the new name too."""
     old = r.media().select("id", "file_name", "file_path", paths.parent(F.col("file_path"), F.col("file_name")).alias("path"))
-    named = organize.date_folder_plan(old.select("path").distinct()).where("path like '/lib/src1/%'").select("path", "target")
+    # written, or the new names are worked out inside the expressions that rename them again, too long to compile
+    named = materialize(organize.date_folder_plan(old.select("path").distinct()).where("path like '/lib/src1/%'").select("path", "target"), "named")
     new = old.where("id % 3 = 0").join(named, "path").select("file_name", F.col("target").alias("path"))
     entries = old.select(F.col("file_path").alias("path")).unionByName(new.select(F.concat("path", F.lit("/"), "file_name").alias("path")))
     return old.select("path").unionByName(new.select("path")).distinct(), entries
