@@ -693,4 +693,4 @@ def quality_scores(r: Roles) -> DataFrame:
 
 
 # Registers more queries of the same kind.
-from mediaframe import state_queries as _state_queries  # noqa: E402, F401
+from mediaframe import job_queries as _job_queries, state_queries as _state_queries  # noqa: E402, F401
