@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.fixtures import Roles
-from mediaframe.operators import ingest
+from mediaframe.operators import catalog, duplicates, ingest
 from mediaframe.plans.storage import materialize, shared_dir
-from mediaframe.queries import query
+from mediaframe.queries import EXACT, FOLDER, query
 from mediaframe.sources import media
 
 # ---- folder trees -----------------------------------------------------------------------------
@@ -100,3 +100,25 @@ def ingest_job(r: Roles) -> DataFrame:
     exif = store.table("media_exif").select(F.col("media_id").alias("id"), "date_taken", F.lit(True).alias("has_exif"))
     rows = store.table("media_files").join(exif, "id", "left")
     return rows.select("file_path", "media_type", "file_size", "scan_phase", F.coalesce("has_exif", F.lit(False)).alias("has_exif"), "date_taken")
+
+
+# ---- pages of groups --------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT label, page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids FROM (
+    SELECT *, place // 20 AS page FROM (SELECT {FOLDER} AS label, id, row_number() OVER (PARTITION BY {FOLDER} ORDER BY coalesce(date_taken, modified_at) DESC, id) - 1 AS place FROM media LEFT JOIN exif ON id = media_id)) GROUP BY label, page""",
+    "media", "exif",
+)
+def media_grouped_pages(r: Roles) -> DataFrame:
+    return catalog.grouped_pages(r.media(), r.exif(), "folder", 20).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+
+
+@query(
+    f"""SELECT group_id, n, page, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (
+    SELECT g.group_id, g.n, d.doc_id, (row_number() OVER (PARTITION BY g.group_id ORDER BY d.doc_id) - 1) // 3 AS page FROM documents d JOIN {EXACT} g ON md5(d.text) = g.k) GROUP BY group_id, n, page"""
+)
+def exact_dup_pages(r: Roles) -> DataFrame:
+    exact = duplicates.exact_groups(r.table("documents"), floor=0, size="n_chars", content="text", key="doc_id")
+    out = duplicates.group_pages(exact.select("group_id", F.col("id").alias("media_id"), "is_preferred"), r.media(), 3)
+    return out.select("group_id", "n", "page", F.array_join(F.transform("members", lambda m: m["media_id"].cast("string")), ",").alias("ids"))

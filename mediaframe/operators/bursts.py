@@ -3,38 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.functions import quality
+from mediaframe.operators import ranges
 
 GAP = 5
 
 
-def sessions(df: DataFrame, at: str, key: str, gap: int = GAP, least: int = 2, by: list[str] | None = None, bucket: int = 13) -> DataFrame:
+def sessions(df: DataFrame, at: str, key: str, gap: int = GAP, least: int = 2, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """df's rows in sessions of at least ``least``, with first_id (the session's first key) and session_size.
 
     at: a zoneless timestamp; rows in its order, ties by key. A session ends where the distance to the
     next row, cut to whole seconds, is over the gap. With ``by`` columns each of their values has its own
-    sessions. Without them no window spans the table: rows are dealt out by the first ``bucket``
-    characters of the timestamp's text (10: days, 13: hours, 16: minutes), and each bucket learns
-    the last moment and the session of the bucket before it from a table with one row per bucket.
-    Rows without a timestamp are in no session.
+    sessions. Rows lie in ranges of that order (see ranges.runs), so neither one value nor one hour of all rows
+    is a task's. Rows without a timestamp are in no session.
     """
     by = list(by or [])
-    rows = df.where(F.col(at).isNotNull()).withColumn("__us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__b", F.substring(F.col(at).cast("string"), 1, bucket))
-    inside = W.partitionBy(*by, "__b").orderBy("__us", key)
-    chain = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("__b")
-    edges = rows.groupBy(*by, "__b").agg(F.max("__us").alias("__last")).withColumn("__before", F.lag("__last").over(chain)).drop("__last")
-    joined = rows.join(edges, [*by, "__b"])
-    previous = F.coalesce(F.lag("__us").over(inside), F.col("__before"))
-    new = F.when(F.floor(F.abs(F.col("__us") - previous) / 1_000_000) <= gap, 0).otherwise(1)
-    marked = joined.withColumn("__new", new)
-    starts = marked.groupBy(*by, "__b").agg(F.sum("__new").alias("__starts"))
-    base = starts.withColumn("__base", F.sum("__starts").over(chain) - F.col("__starts")).drop("__starts")
-    numbered = marked.join(base, [*by, "__b"]).withColumn("__session", F.col("__base") + F.sum("__new").over(inside))
-    groups = numbered.groupBy(*by, "__session").agg(F.count("*").alias("session_size"), F.min_by(key, F.struct("__us", key)).alias("first_id")).where(F.col("session_size") >= least)
-    return numbered.join(groups, [*by, "__session"]).drop("__us", "__b", "__before", "__new", "__base", "__session")
+    rows = df.where(F.col(at).isNotNull()).withColumn("__us", F.unix_micros(F.col(at).cast("timestamp")))
+    # Distances are cut to seconds, so those of up to a microsecond less than gap + 1 seconds are within it.
+    found = ranges.runs(rows, by, ["__us", key], step="__us", most=(gap + 1) * 1_000_000 - 1, partitions=partitions)
+    sized = ranges.sizes(found, key)
+    return sized.where(F.col("run_size") >= least).withColumnsRenamed({"run_size": "session_size", "run_first": "first_id"}).drop("__us", *ranges.MADE)
 
 
 def score(members: DataFrame, group: str, sharp: Column, exposed: Column, width: str = "width", height: str = "height", size: str = "file_size") -> DataFrame:

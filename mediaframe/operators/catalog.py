@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.functions import dates, paths, text
+from mediaframe.operators import ranges
 from mediaframe.plans.storage import materialize
 
 MEDIA_COLUMNS = ["id", "file_path", "original_path", "file_name", "file_size", "mime_type", "sha256_hash", "quick_hash", "phash", "width", "height", "media_type", "created_at", "modified_at", "scanned_at", "source_type", "scan_phase"]
@@ -145,6 +146,19 @@ def grouped(media: DataFrame, exif: DataFrame, by: str = "day") -> DataFrame:
     return rows.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.transform(ordered, lambda m: m["id"]).alias("ids"))
 
 
+def grouped_pages(media: DataFrame, exif: DataFrame, by: str = "day", size: int = 1000, page: int | None = None) -> DataFrame:
+    """label, page, ids: every group's members in list order, a page of ``size`` a row; one page of each if asked.
+
+    Groups of any length: what is in one place is a page.
+    """
+    rows = with_exif(media, exif.select("media_id", "date_taken"))
+    when = dates.effective_date(F.col("date_taken"), F.col("modified_at"))
+    label = dates.day_label(F.col("date_taken"), F.col("modified_at")) if by == "day" else paths.parent(F.col("file_path"), F.col("file_name"))
+    paged = ranges.pages(rows.select(label.alias("label"), when.alias("at"), "id"), "label", ["-at", "id"], size, page)
+    members = F.array_sort(F.collect_list(F.struct("place", "id")))
+    return paged.groupBy("label", "page").agg(F.transform(members, lambda m: m["id"]).alias("ids"))
+
+
 def gps_media(media: DataFrame, exif: DataFrame, limit: int = 1000) -> DataFrame:
     """Media with a position, newest first."""
     rows = with_exif(media, exif.where("gps_latitude is not null and gps_longitude is not null"), "inner")

@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.functions import hashing
+from mediaframe.operators import bloom, ranges
 from mediaframe.operators.components import connected_components
 from mediaframe.plans.storage import materialize
 
 FLOOR = 102_400  # bytes; files must be larger
-BROADCAST_ROWS = 500_000  # sizes or short hashes that are broadcast
 BUCKET_CAP = 500  # larger buckets are skipped: part of the result's definition
 THRESHOLD = 5
 
@@ -24,21 +24,18 @@ def _repeated(df: DataFrame, *keys: str) -> DataFrame:
 def exact_groups(files: DataFrame, floor: int = FLOOR, size: str = "file_size", content: str = "content", key: str = "id") -> DataFrame:
     """group_id, id, size, is_preferred: members of groups with equal content.
 
-    Sizes that occur once drop out, then quick hashes that occur once, then full hashes. The sizes and
-    quick hashes that repeat are broadcast where they are few enough, so that contents which drop out are
-    not hashed; where they are too many the hashes are made at once and joined, for contents are never
-    shuffled. A group is named by its smallest member, which is the preferred one. Null content drops out.
+    Sizes that occur once drop out, then quick hashes that occur once, then full hashes. Contents are never
+    shuffled, and only those of rows are read that pass a Bloom filter of the sizes that repeat; only those
+    that pass one of the quick hashes that repeat are hashed whole. A filter lets nothing fall that repeats; what
+    it lets through besides is told apart by the exact counts after it. A group is named by its smallest
+    member, which is the preferred one. Null content drops out.
     """
     above = files.where(F.col(content).isNotNull() & (F.col(size) > floor)).select(F.col(key).alias("id"), F.col(size).alias("size"), F.col(content).alias("content"))
     sizes = materialize(above.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "sizes")  # reads the size column alone
-    if sizes.count() > BROADCAST_ROWS:
-        rows = above.select("id", "size", hashing.quick_hash(F.col("content")).alias("quick"), hashing.full_hash(F.col("content")).alias("full"))
-        return _groups(rows.join(sizes, "size", "left_semi"))
-    above = above.join(F.broadcast(sizes), "size", "left_semi").withColumn("quick", hashing.quick_hash(F.col("content")))
-    quick = materialize(above.groupBy("size", "quick").agg(F.count("*").alias("n")).where("n > 1").select("size", "quick"), "quick")
-    if quick.count() <= BROADCAST_ROWS:
-        above = above.join(F.broadcast(quick), ["size", "quick"], "left_semi")
-    return _groups(above.select("id", "size", "quick", hashing.full_hash(F.col("content")).alias("full")))
+    some = bloom.passing(above, bloom.build(sizes, "size"), "size").withColumn("quick", hashing.quick_hash(F.col("content")))
+    quick = materialize(some.groupBy("size", "quick").agg(F.count("*").alias("n")).where("n > 1").select("size", "quick"), "quick")
+    few = bloom.passing(some, bloom.build(quick, "size", "quick"), "size", "quick")
+    return _groups(materialize(few.select("id", "size", "quick", hashing.full_hash(F.col("content")).alias("full")), "full"))  # contents are hashed once
 
 
 def exact_groups_of_files(listing: DataFrame, floor: int = FLOOR, path: str = "file_path", size: str = "file_size") -> DataFrame:
@@ -92,6 +89,18 @@ def group_details(members: DataFrame, media: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("media_id", "file_path", "file_size", "is_preferred"))).alias("members"))
 
 
+def group_pages(members: DataFrame, media: DataFrame, size: int = 500, page: int | None = None) -> DataFrame:
+    """group_id, n, page, members: the members of every group in pages of ``size``, or one page of each.
+
+    The array holds a page's members, never a whole group's, however many rows the group has.
+    """
+    rows = members.join(media.withColumnRenamed("id", "media_id"), "media_id").select("group_id", "media_id", "file_path", "file_size", "is_preferred")
+    counts = rows.groupBy("group_id").agg(F.count("*").alias("n"))
+    paged = ranges.pages(rows, "group_id", ["media_id"], size, page)
+    arrays = paged.groupBy("group_id", "page").agg(F.array_sort(F.collect_list(F.struct("media_id", "file_path", "file_size", "is_preferred"))).alias("members"))
+    return arrays.join(counts, "group_id").select("group_id", "n", "page", "members")
+
+
 def trash_preview(members: DataFrame, groups: DataFrame, media: DataFrame, keep: str) -> DataFrame:
     """Members of pending groups that are not the kept one."""
     live = groups.where("status = 'pending'").select(F.col("id").alias("group_id"))

@@ -11,6 +11,7 @@ from mediaframe.fixtures import Roles, sql
 from mediaframe.functions import dates, hashing, paths, quality, text
 from mediaframe.operators import bursts, catalog, duplicates, folders, geo, ingest, journal, membership, organize, sync
 from mediaframe.plans.storage import shared_dir
+from mediaframe.plans.versions import Store
 from mediaframe.sources import media as media_source
 from mediaframe.streaming import watch
 
@@ -673,14 +674,32 @@ def quiet_batches(r: Roles) -> DataFrame:
     return watch.quiet_batches(_changes(r.table("events")), "60 seconds").select(F.col("started").cast("timestamp_ntz").alias("started"), "n", "rescan")
 
 
-@query(None)
+@query(QUIET)
 def stream_quiet_gap(r: Roles) -> DataFrame:
-    """The same batches from a file stream; those still open when the stream ends are not among them."""
+    """The same batches from a file stream that is stopped twice on the way, each time at a gap; a timer closes the last one."""
     source, out, check = (shared_dir(r.spark, f"quiet-{x}") for x in ("changes", "batches", "checkpoint"))
-    _changes(r.table("events")).write.parquet(source)
-    done = watch.quiet_batches(watch.events(r.spark, source), "60 seconds")
-    watch.start(done, out, check).awaitTermination()
-    return r.spark.read.schema(done.schema).parquet(out)
+    changes, idle = _changes(r.table("events")), "1 seconds"
+    starts = watch.quiet_batches(changes, "60 seconds").agg(F.percentile_approx(F.unix_micros("started"), [0.3, 0.7])).first()[0] or [0, 0]
+    low, high = (F.coalesce(F.unix_micros("ts") >= x, F.lit(False)) for x in starts)
+    for part in (~low, low & ~high, high):
+        changes.where(part).write.mode("append").parquet(source)
+        query = watch.start(watch.quiet_stream(watch.events(r.spark, source), "60 seconds", idle=idle), out, check, once=False)
+        try:
+            watch.settle(query, idle)
+        finally:
+            query.stop()
+    return r.spark.read.schema(watch.CLOSED).parquet(out).select(F.col("started").cast("timestamp_ntz").alias("started"), "n", "rescan")
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def recent_events(r: Roles) -> DataFrame:
+    """The log of the newest events after a stream in two runs; LIMIT is the log's size."""
+    source, check = (shared_dir(r.spark, f"recent-{x}") for x in ("changes", "checkpoint"))
+    store = Store(r.spark, shared_dir(r.spark, "recent-log"))
+    for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        _changes(r.table("events")).where(part).write.mode("append").parquet(source)
+        watch.record(store, watch.events(r.spark, source), check, n=1000).awaitTermination()
+    return store.table("recent").select("event_id")
 
 
 @query(None)

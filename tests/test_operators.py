@@ -29,7 +29,7 @@ def test_burst_sessions_do_not_depend_on_buckets(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, start + dt.timedelta(seconds=(i * i * 7919) % 500)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
-    results = [sorted((r.id, r.first_id, r.session_size) for r in bursts.sessions(df, "ts", "id", gap=1, bucket=b).collect()) for b in (10, 16, 19)]
+    results = [sorted((r.id, r.first_id, r.session_size) for r in bursts.sessions(df, "ts", "id", gap=1, partitions=b).collect()) for b in (1, 4, 9)]
     assert results[0] == results[1] == results[2] and results[0]
 
 
