@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.fixtures import Roles
+from mediaframe.functions import paths
 from mediaframe.operators import catalog, duplicates, ingest
+from mediaframe.plans import folders
 from mediaframe.plans.storage import materialize, shared_dir
 from mediaframe.queries import EXACT, FOLDER, query
 from mediaframe.sources import media
@@ -122,3 +124,39 @@ def exact_dup_pages(r: Roles) -> DataFrame:
     exact = duplicates.exact_groups(r.table("documents"), floor=0, size="n_chars", content="text", key="doc_id")
     out = duplicates.group_pages(exact.select("group_id", F.col("id").alias("media_id"), "is_preferred"), r.media(), 3)
     return out.select("group_id", "n", "page", F.array_join(F.transform("members", lambda m: m["media_id"].cast("string")), ",").alias("ids"))
+
+
+# ---- folders ----------------------------------------------------------------------------------
+
+FOLDER_REQUESTS = f"""d AS (SELECT {FOLDER} AS f, min(id) AS k FROM media GROUP BY 1),
+q AS (SELECT k AS request, f AS source, CASE k % 6 WHEN 0 THEN f WHEN 1 THEN f || '/x' WHEN 2 THEN '/lib/src1' WHEN 5 THEN regexp_replace(f, '/[^/]*$', '') ELSE '/lib/src2' END AS target_dir, CASE WHEN k % 6 = 5 THEN CASE WHEN k % 4 = 1 THEN 'en' WHEN k % 4 = 3 THEN 'new' || k ELSE 'a/b' END END AS new_name FROM d
+  UNION ALL SELECT 1000000000, '/lib/src0', '/lib/src1', NULL UNION ALL SELECT 1000000001, '/lib/none', '/lib/src1', NULL),
+e AS (SELECT file_path AS path, FALSE AS folder FROM media UNION ALL SELECT f, TRUE FROM d UNION SELECT regexp_replace(f, '/[^/]*$', ''), TRUE FROM d UNION SELECT '/lib', TRUE),
+"""
+
+
+@query(
+    "+ " + FOLDER_REQUESTS + """s AS (SELECT *, target_dir || '/' || coalesce(new_name, regexp_extract(source, '[^/]*$')) AS target, CASE
+      WHEN source NOT IN (SELECT path FROM e) THEN 'missing' WHEN contains(new_name, '/') THEN 'bad name' WHEN target_dir NOT IN (SELECT path FROM e WHERE folder) THEN 'no target'
+      WHEN new_name IS NULL AND starts_with(target_dir || '/', source || '/') THEN 'nested' WHEN EXISTS (SELECT 1 FROM q o WHERE starts_with(q.source, o.source || '/')) THEN 'covered'
+      WHEN new_name IS NOT NULL AND target_dir || '/' || new_name IN (SELECT path FROM e) THEN 'taken' ELSE 'ready' END AS status FROM q),
+    n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) - CASE WHEN target IN (SELECT path FROM e) THEN 0 ELSE 1 END AS k FROM s WHERE status = 'ready'),
+    r AS (SELECT request, target || CASE WHEN k = 0 THEN '' ELSE ' (' || k || ')' END AS destination FROM n)
+    SELECT s.request, s.source, status, destination, CASE WHEN status = 'ready' THEN (SELECT count(*) FROM e WHERE path = s.source OR starts_with(path, s.source || '/')) END AS n FROM s LEFT JOIN r ON s.request = r.request""",
+    "media",
+)
+def folder_plan(r: Roles) -> DataFrame:
+    """Requests to move and rename folders, what they come to, and how many entries each takes along."""
+    media_rows = r.media()
+    folder = paths.parent(F.col("file_path"), F.col("file_name"))
+    d = media_rows.groupBy(folder.alias("f")).agg(F.min("id").alias("k"))
+    k, up = F.col("k"), paths.parent_of(F.col("f"))
+    where = F.when(k % 6 == 0, F.col("f")).when(k % 6 == 1, F.concat("f", F.lit("/x"))).when(k % 6 == 2, "/lib/src1").when(k % 6 == 5, up).otherwise("/lib/src2")
+    name = F.when(k % 6 == 5, F.when(k % 4 == 1, "en").when(k % 4 == 3, F.concat(F.lit("new"), k)).otherwise("a/b"))
+    asked = d.select(k.alias("request"), F.col("f").alias("source"), where.alias("target_dir"), name.alias("new_name"))
+    more = r.spark.createDataFrame([(1_000_000_000, "/lib/src0", "/lib/src1", None), (1_000_000_001, "/lib/none", "/lib/src1", None)], asked.schema)
+    tops = d.select(F.explode(F.array("f", up, F.lit("/lib"))).alias("path")).distinct().withColumn("folder", F.lit(True))
+    entries = media_rows.select(F.col("file_path").alias("path"), F.lit(False).alias("folder")).unionByName(tops)
+    planned = materialize(folders.plan(asked.unionByName(more), entries), "plan")
+    counts = folders.expand(planned, entries).groupBy("request").agg(F.count("*").alias("n"))
+    return planned.join(counts, "request", "left").select("request", "source", "status", "destination", "n")
