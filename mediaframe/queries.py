@@ -702,13 +702,22 @@ def recent_events(r: Roles) -> DataFrame:
     return store.table("recent").select("event_id")
 
 
-@query(None)
+QUALITY = """
+WITH g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(least(greatest(floor(CAST(x AS DOUBLE) * 255 + 128), 0), 255) AS INTEGER)) AS p FROM embeddings),
+l AS (SELECT id, p, list_transform(range(36), lambda k: p[k // 6 * 8 + k % 6 + 2] + p[k // 6 * 8 + k % 6 + 18] + p[k // 6 * 8 + k % 6 + 9] + p[k // 6 * 8 + k % 6 + 11] - 4 * p[k // 6 * 8 + k % 6 + 10]) AS lap FROM g),
+s AS (SELECT id, list_var_pop(lap) AS sharp, (0.6::DOUBLE * (1 - abs(list_avg(p) - 128) / 128) + 0.4::DOUBLE * greatest(0, 1 - 5 * len(list_filter(p, lambda x: x < 5 OR x > 250)) / 64::DOUBLE)) * 100 AS exposed FROM l)
+SELECT id, round(sharp, 6) AS sharp, round(exposed, 6) AS exposed, round(least(sharp / 20, 100) * 0.5::DOUBLE + exposed * 0.5::DOUBLE, 6) AS score FROM s
+"""
+
+
+@query(QUALITY)
 def quality_scores(r: Roles) -> DataFrame:
     """Sharpness, exposure and quick score of 8 x 8 pixels made of the embeddings."""
-    gray = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x * 255 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    gray = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 255 + 128), F.lit(0)), F.lit(255)).cast("int"))
     rows = r.table("embeddings").select(F.col("vec_id").alias("id"), gray.alias("pixels"), F.lit(8).alias("width"))
     rows = rows.select("id", quality.sharpness("pixels", "width").alias("sharp"), quality.exposure("pixels", "width").alias("exposed"))
-    return rows.select("id", "sharp", "exposed", quality.quick_score(quality.sharpness_score(F.col("sharp")), quality.exposure_score(F.col("exposed"))).alias("score"))
+    score = quality.quick_score(quality.sharpness_score(F.col("sharp")), quality.exposure_score(F.col("exposed")))
+    return rows.select("id", F.round("sharp", 6).alias("sharp"), F.round("exposed", 6).alias("exposed"), F.round(score, 6).alias("score"))
 
 
 # Registers more queries of the same kind.

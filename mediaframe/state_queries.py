@@ -100,9 +100,12 @@ def burst_job(r: Roles) -> DataFrame:
     return rows.select("id", "first_id", "session_size", F.round("quality_score", 6).alias("score"), "is_best")
 
 
-@query("SELECT id, CASE WHEN id = 6 THEN 'dismissed' ELSE 'pending' END AS status FROM albums", "albums")
+@query(f"SELECT group_id AS id, n, CASE WHEN group_id = (SELECT min(group_id) FROM {EXACT}) THEN 'dismissed' ELSE 'pending' END AS status FROM {EXACT} g")
 def dismiss_group(r: Roles) -> DataFrame:
-    return membership.dismiss(r.albums().withColumn("status", F.lit("pending")), 6)
+    """Groups of equal documents, one of which a user waves away: its members stay, its status changes."""
+    exact = duplicates.exact_groups(r.table("documents"), floor=0, size="n_chars", content="text", key="doc_id")
+    groups = exact.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("n")).withColumn("status", F.lit("pending"))
+    return membership.dismiss(groups, groups.agg(F.min("id")).first()[0])
 
 
 # ---- tags, albums, settings, hashes -----------------------------------------------------------
