@@ -17,8 +17,8 @@ saturate at its ends (+-(2^63 - 1)) and tie there.
 Defined cases: an empty table or no query gives no rows; columns beside the key and the vector are left out,
 whatever their names; vectors that are null or hold null, NaN or infinite components take no part, neither
 as query as query nor as candidate, nor do those with a component whose scaled value no double holds; shorter vectors count as padded with zeros; a query's own row is every row
-with its vec_id; query rows repeated with the same vector are one query, candidates repeated are
-returned as often as they stand; rows without vec_id are no queries and come last in ties.
+with its vec_id; query rows repeated with the same vector are one query, those that share an id and differ in their vectors
+are queries of their own, each with its k rows; candidates repeated are returned as often as they stand; rows without vec_id are no queries and come last in ties.
 """
 
 from __future__ import annotations
@@ -139,10 +139,10 @@ def _select(vecs: DataFrame, ids: np.ndarray, q: np.ndarray, edge: list[int], k:
             if len(who):
                 kept = best(*(np.concatenate(x) for x in zip(kept, (who, vec[at], got[who, at]), strict=True)))
         if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1], mask=kept[1] == LAST), pa.array(kept[2])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[0].astype(np.int32)), pa.array(kept[1], mask=kept[1] == LAST), pa.array(kept[2])], names=["query_id", "query", "vec_id", "score"])
 
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return vecs.mapInArrow(go, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))  # not by query_id, which two queries may share
+    return vecs.mapInArrow(go, "query_id long, query int, vec_id long, score long").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def exact_topk(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = 4096, bins: int = 256, slack: int = 4) -> DataFrame:
@@ -154,13 +154,13 @@ def exact_topk(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     spark = df.sparkSession
     configure(spark)
     vecs = quantised(df, key, vector)
-    asked = vecs.where(is_query)
+    asked = vecs.where(is_query).dropDuplicates(["vec_id", "v"])
     size = vecs.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     total = asked.count()
     results = []
     for b in range(max(1, -(-total // block)) if total else 0):
         n = -(-total // block)
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b) if n > 1 else asked
+        part = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)) == b) if n > 1 else asked
         rows = sorted({(r.vec_id, tuple(r.v)) for r in part.collect()})
         if not rows:
             continue

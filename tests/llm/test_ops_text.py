@@ -625,6 +625,14 @@ def test_topk_large_components(spark):
         assert [got[(q, k + 1)] for k in range(5)] == [(i, -s) for s, i in scored[:5]]
 
 
+@pytest.mark.parametrize("block", [1, 4096])
+def test_topk_queries_that_share_an_id(spark, block):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 5.0]), (3, [1.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0, k=2, block=block).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted([(50, 1, 1, 3 * 65536), (50, 2, 2, 2 * 65536), (50, 1, 2, 5 * 65536), (50, 2, 3, 4 * 65536)])
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert topk.exact_topk(df, F.col("vec_id") == 0).count() == 2
