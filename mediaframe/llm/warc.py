@@ -253,7 +253,7 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
     if path.startswith(("/", "file:")):
         return table(spark.read.format("binaryFile").load(path).select("path"), files)
     gzipped = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
-    others = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path)
+    others = spark.read.format("binaryFile").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,z,gz}").load(path)
     return table(gzipped.select(F.input_file_name().alias("path"), F.col("value").cast("binary").alias("piece")), lines).unionByName(table(others.select("path", "content"), contents))
 
 

@@ -90,6 +90,21 @@ def test_warc_segments_and_revisits(spark):
     assert sorted((tuple(r) for r in warc.read_archives(spark, "viewfs://bare/a", 64).drop("archive").collect()), key=key) == near
 
 
+def test_warc_names_that_end_in_z(spark, tmp_path):
+    """A store that only Spark reads: archives are told apart by whether their names end in .gz, and none is read twice or not at all."""
+    import gzip
+
+    folder = tmp_path / "z"
+    folder.mkdir()
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n".encode()
+    names = ["a.warc", "b.z", "z", "gz", "c.xz", "dgz", "e.7z", "f.gz", "ggzz", "h.gzz"]
+    for i, name in enumerate(names):
+        (folder / name).write_bytes(gzip.compress(record(i)) if name.endswith(".gz") else record(i))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.zz.link./a", f"file://{folder}")
+    got = warc.read_archives(spark, "viewfs://zz/a", 64).select("record_id").distinct().collect()
+    assert len(got) == len(names)
+
+
 def test_warc_segments_are_cut_from_the_body(spark):
     """No expression puts header and whole body together; the segments do so bit by bit."""
     body = "".join(chr(97 + i % 26) for i in range(1000))
