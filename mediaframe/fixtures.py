@@ -55,6 +55,13 @@ class Roles:
         bits = F.transform(F.filter("cells", lambda c: c["n"] * 64 > F.col("total")), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), 63 - c["cell"]))
         return totals.select(F.col("doc_id").alias("id"), F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("phash"))
 
+    def cells(self) -> DataFrame:
+        """id, cells: the counts of the 64 word cells that hashes() is made of, as a gray picture of 8 by 8."""
+        words = self.table("documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
+        counts = words.groupBy("doc_id", (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int") % 64).alias("cell")).agg(F.count("*").alias("n"))
+        held = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("held"))
+        return held.select(F.col("doc_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias("cells"))
+
     def journal(self) -> DataFrame:
         from pyspark.sql import Window as W
 

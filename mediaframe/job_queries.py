@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.fixtures import Roles
 from mediaframe.functions import paths
-from mediaframe.operators import catalog, duplicates, ingest
+from mediaframe.operators import catalog, duplicates, ingest, membership
 from mediaframe.plans import folders
 from mediaframe.plans.storage import materialize, shared_dir
 from mediaframe.queries import EXACT, FOLDER, query
@@ -160,3 +160,18 @@ def folder_plan(r: Roles) -> DataFrame:
     planned = materialize(folders.plan(asked.unionByName(more), entries), "plan")
     counts = folders.expand(planned, entries).groupBy("request").agg(F.count("*").alias("n"))
     return planned.join(counts, "request", "left").select("request", "source", "status", "destination", "n")
+
+
+@query(
+    f"""+ gone AS (SELECT id FROM media WHERE file_path LIKE '/lib/src1/%'), m AS (SELECT g.group_id, d.doc_id AS media_id FROM documents d JOIN {EXACT} g ON md5(d.text) = g.k)
+    SELECT group_id AS id, count(*) AS n, min(media_id) AS first_left FROM m WHERE media_id NOT IN (SELECT id FROM gone) GROUP BY group_id""",
+    "media",
+)
+def purge_folder_groups(r: Roles) -> DataFrame:
+    """Groups that outlive the purge of a folder, with the members they keep; those that lost all go."""
+    exact = duplicates.exact_groups(r.table("documents"), floor=0, size="n_chars", content="text", key="doc_id")
+    members = materialize(exact.select("group_id", F.col("id").alias("media_id")), "members")
+    groups = members.select(F.col("group_id").alias("id")).distinct()
+    left = membership.purge_folder({"media_files": r.media(), "duplicate_members": members, "duplicate_groups": groups}, "/lib/src1")
+    counts = left["duplicate_members"].groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("n"), F.min("media_id").alias("first_left"))
+    return left["duplicate_groups"].join(counts, "id", "left")

@@ -151,6 +151,34 @@ def similar_pairs_exact(hashes: DataFrame, threshold: int = THRESHOLD, key: str
     return pairs.unionByName(copies)
 
 
+def fill_hashes(media: DataFrame, *pictures: DataFrame, key: str = "id", phash: str = "phash") -> DataFrame:
+    """id, phash, computed: stored hashes, and for media that lack one the hash of the first picture that is there.
+
+    pictures: tables of id and cells, 64 gray values row by row, the preferred one (thumbnails) first. Only pictures of
+    media without a hash are read on. Media without either have a null hash.
+    """
+    rows = media.select(F.col(key).alias("id"), F.col(phash).alias("phash"))
+    lacking = rows.where("phash is null").select("id")
+    made = lacking
+    for i, p in enumerate(pictures):
+        one = p.where(F.size("cells") == 64).join(lacking, "id", "left_semi").groupBy("id").agg(F.min("cells").alias(f"__c{i}"))
+        made = made.join(one, "id", "left")
+    cells = F.coalesce(*(F.col(f"__c{i}") for i in range(len(pictures)))) if pictures else F.lit(None).cast("array<long>")
+    made = made.select("id", hashing.average_hash(cells).alias("phash")).distinct()
+    return rows.where("phash is not null").withColumn("computed", F.lit(False)).unionByName(made.withColumn("computed", F.col("phash").isNotNull()))
+
+
+def similar_job(media: DataFrame, exact_members: DataFrame, *pictures: DataFrame, exact: bool = True, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The whole job: (hashes to store, clusters). media: id, media_type, phash and what else it has.
+
+    Candidates are images that are no surplus of an exact group; hashes that are missing are computed from pictures and come
+    back for the store. exact: all pairs within the threshold; otherwise those of the original's capped bands.
+    """
+    hashes = materialize(fill_hashes(similar_candidates(media, exact_members), *pictures), "hashes")
+    pairs = similar_pairs_exact(hashes, threshold) if exact else similar_pairs(hashes, threshold)
+    return hashes.where("computed").select("id", "phash"), similar_clusters(pairs)
+
+
 def similar_savings(clusters: DataFrame, media: DataFrame) -> DataFrame:
     """cluster, n, saved: what deleting all but the largest file of each cluster frees."""
     rows = clusters.join(media.select(F.col("id").alias("node"), "file_size"), "node")

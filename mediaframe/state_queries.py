@@ -72,12 +72,12 @@ def similar_pairs_exact(r: Roles) -> DataFrame:
     return duplicates.similar_pairs_exact(r.hashes())
 
 
-@query(
-    CANDIDATES + EXACT_PAIRS.format(among="WHERE id IN (SELECT id FROM c)", also="WHERE s.id IN (SELECT id FROM c)") + """, u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+SIMILAR_JOB = CANDIDATES + EXACT_PAIRS.format(among="WHERE id IN (SELECT id FROM c)", also="WHERE s.id IN (SELECT id FROM c)") + """, u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
     q(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, q.m FROM q JOIN u ON u.a = q.n), k AS (SELECT n AS id, min(m) AS cluster FROM q GROUP BY n)
-    SELECT cluster, count(*) AS n, CAST(sum(file_size) - max(file_size) AS BIGINT) AS saved FROM k JOIN c ON c.id = k.id GROUP BY cluster""",
-    "media", "hashes",
-)
+    SELECT cluster, count(*) AS n, CAST(sum(file_size) - max(file_size) AS BIGINT) AS saved FROM k JOIN c ON c.id = k.id GROUP BY cluster"""
+
+
+@query(SIMILAR_JOB, "media", "hashes")
 def similar_job(r: Roles) -> DataFrame:
     """Candidates, their hashes, exact pairs, clusters, and what each cluster could save."""
     media = _candidates(r)
@@ -85,6 +85,17 @@ def similar_job(r: Roles) -> DataFrame:
     return duplicates.similar_savings(clusters, media)
 
 
+@query(SIMILAR_JOB, "media", "hashes")
+def similar_job_missing(r: Roles) -> DataFrame:
+    """The same where every other file has no hash yet, and one in six of those a thumbnail: it is computed in the job."""
+    stored = r.media().join(r.hashes(), "id", "left").withColumn("phash", F.when(F.col("id") % 2 == 0, F.col("phash")))
+    exact = duplicates.exact_groups(r.table("documents"), floor=0, size="n_chars", content="text", key="doc_id")
+    members, cells = exact.select(F.col("id").alias("media_id"), "is_preferred"), r.cells()
+    _, clusters = duplicates.similar_job(stored, members, cells.where("id % 3 = 0"), cells)
+    return duplicates.similar_savings(clusters, duplicates.similar_candidates(r.media(), members))
+
+
+
 @query(
     """+ t AS (SELECT m.*, e.date_taken, strptime(replace(substr(date_taken, 1, 10), ':', '-') || substr(date_taken, 11, 9), '%Y-%m-%d %H:%M:%S') AS taken FROM media m JOIN exif e ON e.media_id = m.id WHERE media_type = 'image' AND date_taken IS NOT NULL),
     o AS (SELECT *, date_diff('second', lag(taken) OVER (ORDER BY taken, id), taken) AS d FROM t),

@@ -195,3 +195,13 @@ def test_schema_checks(spark):
     links = spark.createDataFrame([("9", "1", 1.0, "user")], schema.struct("media_tags"))
     got = {(r.table, r.rule) for r in schema.violations({"tags": tags, "media_tags": links, "media_files": tables["media_files"]}).collect()}
     assert got == {("tags", "unique name"), ("media_tags", "media_id in media_files")}
+
+
+def test_missing_hashes_are_computed(spark):
+    cells = lambda *on: [100 if i in on else 0 for i in range(64)]
+    media = spark.createDataFrame([(1, 5), (2, None), (3, None), (4, None), (5, None)], "id long, phash long")
+    thumbs = spark.createDataFrame([(1, cells(0)), (2, cells(63)), (4, [1, 2])], "id long, cells array<long>")
+    images = spark.createDataFrame([(2, cells(1)), (3, cells(62, 63)), (3, cells(62, 63)), (9, cells(3))], "id long, cells array<long>")
+    got = {r.id: (r.phash, r.computed) for r in duplicates.fill_hashes(media, thumbs, images).collect()}
+    assert got == {1: (5, False), 2: (1, True), 3: (3, True), 4: (None, False), 5: (None, False)}
+    assert {r.id: r.phash for r in duplicates.fill_hashes(media).collect()} == {1: 5, 2: None, 3: None, 4: None, 5: None}
