@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm.common import configure, read, shared_dir
+from mediaframe.llm.common import configure, materialize, read, shared_dir
 
 CRLF = "\r\n"
 URN = "urn:x-page:"
@@ -53,7 +53,8 @@ def plan_records(df: DataFrame, key: str, payload: str, url: str, min_bytes: int
     """key, n, digest, bytes, url, refers_to, revisit: a narrow row per record, without its payload."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     narrow = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    same = narrow.groupBy("key", "digest", "bytes").agg(F.min("url").alias("url"), F.count("*").alias("copies"))
+    # Written once: payloads are read and hashed for it, and it is asked for responses, revisits and first keys.
+    same = materialize(narrow.groupBy("key", "digest", "bytes").agg(F.min("url").alias("url"), F.count("*").alias("copies")), "warc-plan")
     # min() passes over null keys, which is the order asked for; a class of null keys alone refers to null
     first = same.groupBy("digest").agg(F.min("key").alias("response"))
     each = same.join(first, "digest").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
