@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.functions import hashing
-from mediaframe.operators import bloom, ranges
+from mediaframe.operators import bloom, diameter, ranges
 from mediaframe.operators.components import connected_components
 from mediaframe.plans.storage import materialize
 
@@ -191,14 +191,9 @@ def similar_clusters(pairs: DataFrame) -> DataFrame:
 
 
 def cluster_scores(clusters: DataFrame, hashes: DataFrame, key: str = "id", phash: str = "phash") -> DataFrame:
-    """cluster, n, score: 1 - (largest distance of any two members) / 64, over all pairs of the cluster.
-
-    The largest distance needs distinct hashes only, so copies of a hash do not multiply pairs.
-    """
+    """cluster, n, score: 1 - (largest distance of any two members) / 64, over the whole cluster, by pivots and blocks."""
     rows = clusters.join(hashes.select(F.col(key).alias("node"), F.col(phash).alias("h")), "node")
-    distinct = rows.select("label", "h").distinct()
-    pairs = distinct.join(distinct.withColumnRenamed("h", "other"), "label").where("h <= other")
-    far = pairs.groupBy("label").agg(F.max(hashing.hamming(F.col("h"), F.col("other"))).alias("far"))
+    far = diameter.farthest(rows)
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
     return sizes.join(far, "label").select(F.col("label").alias("cluster"), "n", (1.0 - F.col("far") / 64.0).alias("score"))
 
