@@ -35,6 +35,15 @@ def with_exif(media: DataFrame, exif: DataFrame, how: str = "left") -> DataFrame
     return media.join(exif.withColumnRenamed("media_id", "id"), "id", how)
 
 
+# The columns of a media row as clients see it, beside date_taken.
+MEDIA_COLUMNS = ["id", "file_path", "original_path", "file_name", "file_size", "mime_type", "sha256_hash", "quick_hash", "width", "height", "media_type", "created_at", "modified_at", "scanned_at", "source_type", "thumbnail", "scan_phase"]
+
+
+def media_rows(media: DataFrame, exif: DataFrame) -> DataFrame:
+    """The 18 columns of a media row; media without EXIF have no date_taken."""
+    return with_exif(media.select(MEDIA_COLUMNS), exif.select("media_id", "date_taken")).select(*MEDIA_COLUMNS, "date_taken")
+
+
 def predicate(facets: Facets) -> Column:
     tests: list[Column] = []
     if facets.folder:

@@ -85,8 +85,10 @@ def farthest(rows: DataFrame, label: str = "label", h: str = "h", block: int = B
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.block") <= F.col("y.block")))
     pairs = pairs.select(F.col("x.label").alias("label"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"), F.col("x.low").alias("low"), _bound().alias("bound")).where("bound > low")
     pairs = pairs.join(blocks.select("label", F.col("block").alias("bx"), F.col("hs").alias("x")), ["label", "bx"]).join(blocks.select("label", F.col("block").alias("by"), F.col("hs").alias("y")), ["label", "by"])
-    kind = dict(rows.dtypes)["label"]
-    met = pairs.select("label", "low", "bound", "x", "y").sortWithinPartitions("label", F.desc("bound")).mapInPandas(_compare, f"label {kind}, far int")
+    kind, session = dict(rows.dtypes)["label"], rows.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.repartition(tasks, "label", "bx", "by")  # few bytes, much work: not to be put together again
+    met = dealt.select("label", "low", "bound", "x", "y").sortWithinPartitions("label", F.desc("bound")).mapInPandas(_compare, f"label {kind}, far int")
     met = materialize(met.groupBy("label").agg(F.max("far").alias("far")), "farthest")
     out = materialize(swept.select("label", "low").join(met, "label", "left").select("label", F.greatest("low", "far").alias("far")), "diameters")
     release(rows, swept, blocks, met)

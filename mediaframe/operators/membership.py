@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediaframe.functions import paths
+from mediaframe.functions import dates, paths
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -194,3 +194,59 @@ def upload_worklist(media: DataFrame, exif: DataFrame, uploads: DataFrame, burst
     rows = rows.join(first, "sha256_hash", "left")
     skip = F.when(F.col("known"), "uploaded").when(F.col("sha256_hash").isNotNull() & (F.col("first.id") != F.col("id")), "same_content")
     return rows.select("id", "file_path", "best_date", "sha256_hash", skip.alias("skip"))
+
+
+def upload_run(worklist: DataFrame, attempts: DataFrame, root: str, organize_by_date: bool = True, skip_uploaded: bool = True) -> DataFrame:
+    """id, status, reason, remote_path: how a run over the worklist ends, given what the server answers to each item.
+
+    worklist: id, file_name, best_date, sha256_hash, known (its id or content is in the ledger); taken oldest first. attempts: id,
+    code: 0 is done, 1805 a name that is taken (skipped), 105 and 119 an ended session (this item fails, those after it are not
+    tried), null or no row a file that is not there, any other code a failure. Once a content is up, later items with it are skipped;
+    an item that failed keeps none of them back. What an item does depends on the first success of its content and
+    the first end of a session only: two aggregates, no loop over the order.
+    """
+    at = F.struct("best_date", "id")
+    rows = worklist.join(attempts.select("id", "code"), "id", "left").withColumn("__skip", F.lit(skip_uploaded) & F.col("known"))
+    able = F.col("code").isNotNull() & ~F.col("__skip")
+    done = rows.where(able & (F.col("code") == 0) & F.col("sha256_hash").isNotNull()).groupBy("sha256_hash").agg(F.min(at).alias("__done"))
+    rows = rows.join(done, "sha256_hash", "left").withColumn("__later", F.lit(skip_uploaded) & F.col("__done").isNotNull() & (at > F.col("__done")))
+    tried = able & ~F.col("__later")
+    ended = F.col("code").isin(105, 119)
+    end = rows.where(tried & ended).agg(F.min(at).alias("__end"))
+    rows = rows.withColumn("__end", end.scalar())
+    status = (
+        F.when(at > F.col("__end"), "not_tried").when(F.col("code").isNull(), "failed").when(F.col("__skip") | F.col("__later"), "skipped")
+        .when(F.col("code") == 0, "uploaded").when(F.col("code") == 1805, "skipped").otherwise("failed")
+    )
+    reason = (
+        F.when(at > F.col("__end"), "ended").when(F.col("code").isNull(), "missing").when(F.col("__skip"), "ledger").when(F.col("__later"), "same_content")
+        .when(F.col("code") == 1805, "name_taken").when(ended, "session").when(F.col("code") != 0, "code")
+    )
+    folder = F.concat_ws("/", F.lit(root.rstrip("/")), dates.day_folder(F.col("best_date"))) if organize_by_date else F.lit(root.rstrip("/"))
+    return rows.select("id", "sha256_hash", status.alias("status"), reason.alias("reason"), F.when(status == "uploaded", F.concat_ws("/", folder, "file_name")).alias("remote_path"))
+
+
+def upload_ledger(ledger: DataFrame, run: DataFrame, media: DataFrame) -> DataFrame:
+    """The ledger (media_id, sha256, source_path, remote_path) with what a run uploaded; a pair that is there stays as it is."""
+    rows = run.where("status = 'uploaded'").join(media.select("id", "file_path"), "id")
+    rows = rows.select(F.col("id").alias("media_id"), F.col("sha256_hash").alias("sha256"), F.col("file_path").alias("source_path"), "remote_path")
+    return insert_or_ignore(ledger, rows, ["media_id", "remote_path"])
+
+
+# ---- lists ------------------------------------------------------------------------------------
+
+
+def source_folder_list(source_folders: DataFrame) -> DataFrame:
+    """In the order in which they were added."""
+    return source_folders.orderBy("added_at", "id")
+
+
+def pending_groups(groups: DataFrame, *order: str) -> DataFrame:
+    """Pending groups by their order (match_type for duplicates), then by id."""
+    return groups.where("status = 'pending'").orderBy(*order, "id")
+
+
+def group_member_list(members: DataFrame, media: DataFrame, exif: DataFrame) -> DataFrame:
+    """Members of burst groups next to their media and date taken, group by group, the best quality first."""
+    rows = members.join(media.withColumnRenamed("id", "media_id"), "media_id").join(exif.select("media_id", "date_taken"), "media_id", "left")
+    return rows.orderBy("group_id", F.desc("quality_score"), "media_id")

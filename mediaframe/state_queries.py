@@ -267,3 +267,69 @@ def mounted_volumes(r: Roles) -> DataFrame:
     lines = F.array(size, F.when(nation % 3 == 0, "  Protocol: USB").otherwise("  Protocol: PCI"), F.when(nation % 5 == 0, "Removable Media: Removable").otherwise("Removable Media: Fixed"), F.lit("no colon here"), F.lit("Mount Point: /Volumes/a:b"))
     facts = volumes.volume_facts(r.table("customer").select(key.alias("volume"), F.explode(lines).alias("value")))
     return facts.select(F.col("volume").alias("id"), volumes.byte_value(F.try_element_at("facts", F.lit("Disk Size"))).alias("bytes"), volumes.is_removable(F.col("facts")).alias("removable"))
+
+
+# ---- upload runs, lists, exact clusters -------------------------------------------------------
+
+CODES = "CASE WHEN id % 19 = 7 THEN NULL WHEN id % 3001 = 3000 THEN 119 WHEN id % 17 = 5 THEN 1805 WHEN id % 23 = 9 THEN 407 ELSE 0 END"
+UPLOAD_RUN = f"""+ w AS (SELECT m.id, file_name, file_path, coalesce(date_taken, modified_at) AS best_date, sha256_hash, m.id IN (SELECT media_id FROM uploads WHERE media_id % 3 = 0) AS known, {CODES} AS code FROM media m LEFT JOIN exif ON m.id = media_id),
+    o AS (SELECT *, row_number() OVER (ORDER BY best_date, id) AS pos FROM w),
+    d AS (SELECT *, min(CASE WHEN code = 0 AND NOT known THEN pos END) OVER (PARTITION BY sha256_hash) AS done FROM o),
+    l AS (SELECT *, sha256_hash IS NOT NULL AND coalesce(pos > done, FALSE) AS later FROM d),
+    e AS (SELECT *, coalesce(pos > (SELECT min(pos) FROM l WHERE code = 119 AND NOT known AND NOT later), FALSE) AS ended FROM l),
+    u AS (SELECT *, CASE WHEN ended THEN 'not_tried' WHEN code IS NULL THEN 'failed' WHEN known OR later OR code = 1805 THEN 'skipped' WHEN code = 0 THEN 'uploaded' ELSE 'failed' END AS status,
+      CASE WHEN ended THEN 'ended' WHEN code IS NULL THEN 'missing' WHEN known THEN 'ledger' WHEN later THEN 'same_content' WHEN code = 1805 THEN 'name_taken' WHEN code = 119 THEN 'session' WHEN code <> 0 THEN 'code' END AS reason,
+      '/nas/' || replace(substr(best_date, 1, 10), ':', '-') || '/' || file_name AS remote FROM e)
+"""
+
+
+def _upload_run(r: Roles) -> DataFrame:
+    known = r.uploads().where("media_id % 3 = 0").select(F.col("media_id").alias("id")).distinct().withColumn("known", F.lit(True))
+    rows = r.media().join(r.exif().select(F.col("media_id").alias("id"), "date_taken"), "id", "left").join(known, "id", "left")
+    work = rows.select("id", "file_name", F.coalesce("date_taken", "modified_at").alias("best_date"), "sha256_hash", F.coalesce("known", F.lit(False)).alias("known"))
+    return membership.upload_run(work, r.media().select("id", F.expr(CODES).alias("code")), "/nas/")
+
+
+@query(UPLOAD_RUN + "SELECT id, status, reason, CASE WHEN status = 'uploaded' THEN remote END AS remote_path FROM u", "media", "exif", "uploads")
+def upload_run(r: Roles) -> DataFrame:
+    """An upload run over all media, one of which meets the end of the session; what the server answers is derived from ids."""
+    return _upload_run(r).select("id", "status", "reason", "remote_path")
+
+
+@query(UPLOAD_RUN + "SELECT media_id, sha256, NULL AS remote_path FROM uploads WHERE media_id % 3 = 0 UNION ALL SELECT id, sha256_hash, remote FROM u WHERE status = 'uploaded'", "media", "exif", "uploads")
+def upload_ledger(r: Roles) -> DataFrame:
+    """The ledger after that run."""
+    none = F.lit(None).cast("string")
+    ledger = r.uploads().where("media_id % 3 = 0").withColumns({"source_path": none, "remote_path": none})
+    return membership.upload_ledger(ledger, _upload_run(r), r.media()).select("media_id", "sha256", "remote_path")
+
+
+@query(
+    """SELECT id, file_path, '/old' || file_path AS original_path, file_name, file_size, 'application/x' AS mime_type, sha256_hash, substr(sha256_hash, 1, 16) AS quick_hash, width, height, media_type,
+    modified_at AS created_at, modified_at, modified_at AS scanned_at, 'local' AS source_type, comment AS thumbnail, 0 AS scan_phase, date_taken FROM media LEFT JOIN exif ON id = media_id""",
+    "media", "exif",
+)
+def media_rows(r: Roles) -> DataFrame:
+    at = F.col("modified_at")
+    more = {"original_path": F.concat(F.lit("/old"), "file_path"), "mime_type": F.lit("application/x"), "quick_hash": F.substring("sha256_hash", 1, 16), "created_at": at, "scanned_at": at, "source_type": F.lit("local"), "thumbnail": F.col("comment")}
+    return catalog.media_rows(r.media().withColumns(more), r.exif())
+
+
+@query("SELECT tag_id AS group_id, id AS media_id, file_name, CAST(file_size % 101 AS DOUBLE) AS quality_score, date_taken FROM media_tags t JOIN media ON t.media_id = id LEFT JOIN exif x ON x.media_id = id ORDER BY group_id, quality_score DESC, id LIMIT 300", "media", "exif", "media_tags")
+def group_member_list(r: Roles) -> DataFrame:
+    """The first members of the list: what the cut keeps shows the order."""
+    members = r.media_tags().join(r.media().select(F.col("id").alias("media_id"), (F.col("file_size") % 101).cast("double").alias("quality_score")), "media_id").withColumnRenamed("tag_id", "group_id")
+    return membership.group_member_list(members, r.media(), r.exif()).limit(300).select("group_id", "media_id", "file_name", "quality_score", "date_taken")
+
+
+@query(
+    "+" + EXACT_PAIRS.format(among="", also="").lstrip(",") + """, u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    q(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, q.m FROM q JOIN u ON u.a = q.n), k AS (SELECT n AS id, min(m) AS cluster FROM q GROUP BY n),
+    c AS (SELECT k.id, cluster, phash FROM k JOIN hashes ON hashes.id = k.id)
+    SELECT c.cluster, count(DISTINCT c.id) AS n, 1.0 - max(bit_count(xor(c.phash, d.phash)))::DOUBLE / 64.0::DOUBLE AS score FROM c JOIN c d ON c.cluster = d.cluster GROUP BY c.cluster""",
+    "hashes",
+)
+def similar_scores_exact(r: Roles) -> DataFrame:
+    """Scores of the clusters of all pairs within the threshold, no bucket left out."""
+    hashes = r.hashes()
+    return duplicates.cluster_scores(duplicates.similar_clusters(duplicates.similar_pairs_exact(hashes)), hashes)

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,42 @@ def test_missing_hashes_are_computed(spark):
     got = {r.id: (r.phash, r.computed) for r in duplicates.fill_hashes(media, thumbs, images).collect()}
     assert got == {1: (5, False), 2: (1, True), 3: (3, True), 4: (None, False), 5: (None, False)}
     assert {r.id: r.phash for r in duplicates.fill_hashes(media).collect()} == {1: 5, 2: None, 3: None, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_upload_run_equals_a_loop(spark, skip):
+    rng = random.Random(4)
+    items = [(i, f"f{i}.jpg", f"2024-0{rng.randint(1, 4)}-01T00:00:00", rng.choice(["a", "b", "c", "d", None]), rng.random() < 0.1) for i in range(120)]
+    for seed in range(3):
+        codes = {i: rng.choice([0, 0, 0, 1805, 407, None] + ([119] if rng.random() < 0.02 else [])) for i, *_ in items if i % 13}
+        ups, up, over = {}, set(), False
+        for i, _, date, sha, known in sorted(items, key=lambda x: (x[2], x[0])):
+            code = codes.get(i)
+            if over:
+                ups[i] = "not_tried"
+            elif code is None:
+                ups[i] = "failed"
+            elif skip and (known or (sha is not None and sha in up)):
+                ups[i] = "skipped"
+            else:
+                ups[i] = {0: "uploaded", 1805: "skipped"}.get(code, "failed")
+                over = code in (105, 119)
+                if code == 0:
+                    up.add(sha)
+        work = spark.createDataFrame(items, "id long, file_name string, best_date string, sha256_hash string, known boolean")
+        run = membership.upload_run(work, spark.createDataFrame(list(codes.items()), "id long, code int"), "/nas", organize_by_date=False, skip_uploaded=skip)
+        assert {r.id: r.status for r in run.collect()} == ups
+        assert all(r.remote_path == f"/nas/f{r.id}.jpg" for r in run.where("status = 'uploaded'").collect())
+    assert membership.upload_run(work.limit(0), spark.createDataFrame([], "id long, code int"), "/nas").count() == 0
+
+
+def test_list_orders(spark):
+    folders = spark.createDataFrame([("b", "2024-02"), ("a", "2024-02"), ("c", "2023-01")], "id string, added_at string")
+    assert [r.id for r in membership.source_folder_list(folders).collect()] == ["c", "a", "b"]
+    groups = spark.createDataFrame([("2", "similar", "pending"), ("3", "exact", "pending"), ("1", "exact", "resolved"), ("0", "similar", "pending")], "id string, match_type string, status string")
+    assert [r.id for r in membership.pending_groups(groups, "match_type").collect()] == ["3", "0", "2"]
+    assert [r.id for r in membership.pending_groups(groups).collect()] == ["0", "2", "3"]
+    members = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 7.0), ("g", 3, None), ("a", 4, 1.0)], "group_id string, media_id long, quality_score double")
+    media = spark.createDataFrame([(i, f"{i}.jpg") for i in range(5)], "id long, file_name string")
+    exif = spark.createDataFrame([(2, "2024")], "media_id long, date_taken string")
+    assert [(r.media_id, r.date_taken) for r in membership.group_member_list(members, media, exif).collect()] == [(4, None), (2, "2024"), (1, None), (3, None)]
