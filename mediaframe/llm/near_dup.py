@@ -1,15 +1,16 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification, components.
 
-A text's shingles are runs of five words (all words, if fewer), each of weight 1 however often it occurs.
+A text's shingles are runs of five words (all words, if fewer); a shingle weighs what it occurs in the text.
 Each shingle is a Poisson process of that rate whose arrivals fall on random registers; a register keeps
 the shingle that arrives first. Arrivals are drawn round by round for a whole batch of texts, and a shingle
 stops once its next arrival is later than every register of its text, which is the early termination. The
-chance that two texts agree in a register is the probability Jaccard similarity of their weights, which for
-equal weights is the Jaccard similarity of the sets that links are verified by.
+chance that two texts agree in a register is the probability Jaccard similarity of their weights. A text that
+repeats shingles has a second sketch in which each weighs 1, so that a copy with one line repeated over and over,
+whose weights are mostly that line's, is still met by its set; for all others both sketches are one.
 
-Texts that share a band of registers are candidates; links are the pairs whose shingle sets have a
-Jaccard similarity of at least 0.8, checked on the sets themselves. Equal texts are one node from the
-start. In a bucket every text is compared with the bucket's hub, the text that shares most buckets with
+Texts that share a band of registers, of either sketch, are candidates; links are the pairs of which the probability
+Jaccard similarity of the weights or the Jaccard similarity of the sets is at least 0.8, computed from
+the shingles themselves, told apart by 32 bits of their hashes. Equal texts are one node from the start. In a bucket every text is compared with the bucket's hub, the text that shares most buckets with
 most texts; a bucket that is then one component is done, so groups of thousands of copies never make all
 their pairs. In the others pairs across components are compared, large buckets by the rare shingles
 that linked sets must share, and only links that connect something more leave a task.
@@ -31,7 +32,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediaframe.llm.common import aside, map_rows, materialize, read, release
@@ -42,6 +44,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 BLOCK = 256
+ROUNDING = 1e-12  # of sums of doubles
 BROADCAST_ROWS = 500_000  # ids of 16 bytes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -121,44 +124,87 @@ def prob_minhash(ids: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts:
     return held.reshape(texts, m)
 
 
+def similarity(a: np.ndarray, x: np.ndarray | None, b: np.ndarray, y: np.ndarray | None) -> float:
+    """The larger one of the probability Jaccard similarity of two weighted sets and the Jaccard similarity of the sets.
+
+    a, b: distinct ids; x, y: their weights, None if all are 1. The former is the sum over shared ids s of
+    1 / sum over all ids j of max(x_j / x_s, y_j / y_s). Of the two terms the first is the larger one where x_j / y_j is at least
+    x_s / y_s, so the inner sums are running sums in the order of these quotients.
+    """
+    if x is None and y is None:
+        n = len(np.intersect1d(a, b, assume_unique=True))
+        return n / (len(a) + len(b) - n) if n else 0.0
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = (np.ones(len(ids)) if w is None else np.asarray(w, np.float64) for ids, w in ((a, x), (b, y)))
+    order = np.argsort(x[i] / y[j], kind="stable")
+    xs, ys = x[i][order], y[j][order]
+    larger, smaller = x.sum() - np.cumsum(xs) + xs, y.sum() - ys[::-1].cumsum()[::-1]
+    return max(len(i) / (len(a) + len(b) - len(i)), float((1 / (larger / xs + smaller / ys)).sum()))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node, sig: the registers of each text; null for texts without words."""
+    """doc_id, node, sig, weighted: each text's registers for equal weights and for its own, the latter null where
+    no shingle is repeated; both null for texts without words."""
 
     def go(texts: list) -> tuple:
-        sets = [np.unique(shingles(t)) for t in texts]
-        sizes = np.array([len(s) for s in sets], np.int64)
+        sets = [np.unique(shingles(t), return_counts=True) for t in texts]
+        sizes = np.array([len(s) for s, _ in sets], np.int64)
         if not sizes.sum():
-            return ([None] * len(texts),)
-        held = prob_minhash(np.concatenate(sets), np.ones(sizes.sum()), np.repeat(np.arange(len(texts)), sizes), len(texts))
-        return ([row.tobytes() if n else None for row, n in zip(held, sizes, strict=True)],)
+            return [None] * len(texts), [None] * len(texts)
+        held = prob_minhash(np.concatenate([s for s, _ in sets]), np.ones(sizes.sum()), np.repeat(np.arange(len(texts)), sizes), len(texts))
+        sig, weighted = [row.tobytes() if n else None for row, n in zip(held, sizes, strict=True)], [None] * len(texts)
+        again = [i for i, (_, times) in enumerate(sets) if times.max(initial=1) > 1]
+        if again:
+            held = prob_minhash(*(np.concatenate([sets[i][k] for i in again]) for k in (0, 1)), np.repeat(np.arange(len(again)), sizes[again]), len(again))
+            for i, row in zip(again, held, strict=True):
+                weighted[i] = row.tobytes()
+        return sig, weighted
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, ["doc_id", "node"], ["text"], go, "sig binary")
+    return map_rows(rows, ["doc_id", "node"], ["text"], go, "sig binary, weighted binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles: the sorted distinct 32-bit shingle hashes of each wanted node, read from one of its documents."""
+    """node, shingles, times: the distinct 32-bit shingle hashes of each wanted node, read from one of its documents, and
+    how often each occurs; times is null where none is repeated."""
 
     def go(texts: list) -> tuple:
-        return ([np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts],)
+        sets = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32), return_counts=True) for t in texts]
+        return [s.view(np.int32) for s, _ in sets], [n.astype(np.int32) if n.max(initial=1) > 1 else None for _, n in sets]
 
     ids = wanted.select("node", F.col("doc_id").alias("want"))
     small = ids.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(ids) if small else ids, "node").where(F.col("doc_id").eqNullSafe(F.col("want")))
-    made = map_rows(rows, ["node"], ["text"], go, "shingles array<int>")
-    return materialize(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    made = map_rows(rows, ["node"], ["text"], go, "shingles array<int>, times array<int>")
+    return materialize(made.groupBy("node").agg(F.first(F.struct("shingles", "times")).alias("set")).select("node", "set.*"), "sets")
+
+
+def _sized(sa: str, ta: str, sb: str, tb: str, similar: float) -> Column:
+    """Whether sets could be similar by their sizes alone; weights that differ say nothing about sizes."""
+    return F.col(ta).isNotNull() | F.col(tb).isNotNull() | (F.least(F.size(sa), F.size(sb)) >= similar * F.greatest(F.size(sa), F.size(sb)) - ROUNDING)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) that are links."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = shingle_sets(docs, distinct.select("node", "doc_id").join(ends, "node", "left_semi"))
-    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = (F.least(F.size("sa"), F.size("sb")) >= similar * F.greatest(F.size("sa"), F.size("sb"))) & (both >= similar * (F.size("sa") + F.size("sb") - both))
-    links = materialize(pairs.join(one, "b").join(two, "a").where(near).select("a", "b"), "links")
+    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("times").alias("tb"))
+    two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("times").alias("ta"))
+
+    def rows(lists) -> list:
+        ends, values, null = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False), lists.is_null().to_numpy(zero_copy_only=False)
+        return [None if gone else values[i:j] for i, j, gone in zip(ends[:-1], ends[1:], null, strict=True)]
+
+    def go(*lists) -> tuple:
+        sa, ta, sb, tb = map(rows, lists)
+        return (np.array([similarity(*x) for x in zip(sa, ta, sb, tb, strict=True)]),)
+
+    sides = ["sa", "ta", "sb", "tb"]
+    found = map_rows(pairs.join(one, "b").join(two, "a").where(_sized("sa", "ta", "sb", "tb", similar)), ["a", "b"], sides, go, "similarity double", raw=sides)
+    links = materialize(found.where(F.col("similarity") >= similar - ROUNDING).select("a", "b"), "links")
     release(sets)
     return links
 
@@ -179,16 +225,19 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 def rare_prefixes(facts: DataFrame, similar: float) -> DataFrame:
     """token, node: the rarest shingles of each set, so many that two sets with a link share one of them.
 
-    Sets of which each holds ``similar`` of the other's share one of the first n - ceil(similar * n) + 1
-    shingles in any one order of all; here by the number of sets that hold a shingle, the rare ones first.
+    Of a link each side's weight, or each side's number of shingles, lies by ``similar`` at least on shared shingles:
+    a term of the probability Jaccard similarity is at most x_s / sum of x. In any one order of all shingles those before
+    the first shared one come to 1 - ``similar`` of either side at most, so it is among those kept here. The order is
+    by the number of sets that hold a shingle, the rare ones first.
     """
-    tokens = facts.select("node", F.explode("shingles").alias("token"))
+    tokens = facts.select("node", "times", F.posexplode("shingles").alias("i", "token")).select("node", "token", F.coalesce(F.get("times", "i"), F.lit(1)).cast("long").alias("x"))
     held_by = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
-    shared = tokens.join(held_by, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
-    n = F.size("shingles")
-    first = n - F.ceil(similar * n - 1e-9).cast("int") + 1 - (n - F.size("shared"))  # those that no other set holds come before
-    rows = shared.join(facts.select("node", "shingles"), "node").select("node", F.slice("shared", F.lit(1), F.greatest(first, F.lit(0))).alias("rare"))
-    return rows.select("node", F.explode("rare.token").alias("token"))
+    total = F.coalesce(F.aggregate("times", F.lit(0).cast("long"), lambda t, x: t + x), F.size("shingles").cast("long"))
+    rows = tokens.join(held_by, "token").join(facts.select("node", total.alias("weight"), F.size("shingles").alias("n")), "node")
+    later = W.partitionBy("node").orderBy("m", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
+    # what comes before a shingle: those that no other set holds, and the rarer ones
+    rows = rows.select("node", "token", "weight", "n", F.sum("x").over(later).alias("x"), F.count("*").over(later).alias("k"))
+    return rows.where(f"weight - x <= {1 - similar!r} * weight + 1e-9 or n - k <= {1 - similar!r} * n + 1e-9").select("token", "node")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -224,7 +273,8 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        node, mine, sets = pdf["node"].to_numpy(), pdf["mine"].to_numpy(), pdf["shingles"].tolist()
+        node, mine, sets, times = pdf["node"].to_numpy(), pdf["mine"].to_numpy(), pdf["shingles"].tolist(), pdf["times"].tolist()
+        weighted = np.array([t is not None for t in times])
         size, band = np.array([len(s) for s in sets]), int(pdf["band"].iloc[0])
         comp = pdf["label"].to_numpy().copy()  # changes as links are found
         left, right = np.flatnonzero(mine == pdf["p"].iloc[0]), np.flatnonzero(mine == pdf["q"].iloc[0])
@@ -233,13 +283,11 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
             equal = sig[right] == sig[i]
             met = equal.reshape(len(right), -1, ROWS).all(axis=2)
             ok = ~met[:, :band].any(axis=1) & (comp[right] != comp[i])
-            ok &= np.minimum(size[right], size[i]) >= similar * np.maximum(size[right], size[i])
+            ok &= weighted[right] | weighted[i] | (np.minimum(size[right], size[i]) >= similar * np.maximum(size[right], size[i]) - ROUNDING)
             for j in right[ok]:
-                if comp[i] != comp[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= similar * (size[i] + size[j] - both):
-                        found.append((node[i], node[j]))
-                        comp[comp == comp[j]] = comp[i]
+                if comp[i] != comp[j] and similarity(sets[i], times[i], sets[j], times[j]) >= similar - ROUNDING:
+                    found.append((node[i], node[j]))
+                    comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return materialize(rows.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long"), "cross-links")
@@ -249,9 +297,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, node, label, class_id, class_size, one row per document; class_id is the smallest doc_id of those with a label."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs), "signatures")
-    distinct = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).where("sig is not null"), "distinct")
-    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
-    dealt = distinct.select("node", F.posexplode(bands).alias("band", "bucket"))
+    distinct = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("sig", "weighted")).alias("s")).select("node", "doc_id", "s.*").where("sig is not null"), "distinct")
+    bands = [F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring(c, 4 * ROWS * i + 1, 4 * ROWS)).alias("bucket")) for i in range(BANDS))) for c in ("sig", "weighted")]
+    dealt = distinct.select("node", F.inline(F.when(F.col("weighted").isNull(), bands[0]).otherwise(F.array_union(*bands))))
     sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     members = materialize(dealt.join(_shared(sizes), "bucket"), "members")
     release(sizes)

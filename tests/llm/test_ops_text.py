@@ -293,6 +293,36 @@ def test_near_dup_recall_by_similarity(spark):
     assert not linked[similar < 0.8].any() and (similar < 0.8).sum() >= 100
 
 
+def test_near_dup_similarity_of_weights():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (rng.integers(0, 5, 30) * (rng.random(30) < 0.8) for _ in range(2))
+        a, b = np.flatnonzero(x), np.flatnonzero(y)
+        shared = np.flatnonzero((x > 0) & (y > 0))
+        exact = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in shared)
+        sets = len(shared) / ((x > 0) | (y > 0)).sum()
+        assert abs(near_dup.similarity(a, x[a], b, y[b]) - max(exact, sets)) < 1e-12
+        assert near_dup.similarity(a, None, b, None) == sets
+    assert near_dup.similarity(np.arange(4), None, np.arange(5), None) == 0.8 and near_dup.similarity(np.arange(2), np.array([1, 2]), np.arange(5, 7), None) == 0
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_near_dup_links_of_weights(spark, monkeypatch, block):
+    """Texts that are mostly one repeated passage, with different ends, are links by weight though their sets share half only."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng, texts = random.Random(6), []
+    for g in range(12):
+        line = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(3):
+            texts.append(" ".join(line * 20 + [f"e{rng.randrange(10**9)}" for _ in range(30)]))  # shared: 1,196 of 1,226 by weight, 60 of 120 as sets
+        texts.append(" ".join(line * 20 + [f"e{rng.randrange(10**9)}" for _ in range(900)]))  # 1,196 of 2,096 by weight
+    sets = [shingle_set(t) for t in texts]
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.6 for i in range(0, len(texts), 4))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    assert got == {i: i if i % 4 == 3 else i - i % 4 for i in range(len(texts))}
+
+
 def test_near_dup_joined_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
