@@ -230,10 +230,11 @@ def rare_prefixes(facts: DataFrame, similar: float) -> DataFrame:
     the first shared one come to 1 - ``similar`` of either side at most, so it is among those kept here. The order is
     by the number of sets that hold a shingle, the rare ones first.
     """
-    tokens = facts.select("node", "times", F.posexplode("shingles").alias("i", "token")).select("node", "token", F.coalesce(F.get("times", "i"), F.lit(1)).cast("long").alias("x"))
-    held_by = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
     total = F.coalesce(F.aggregate("times", F.lit(0).cast("long"), lambda t, x: t + x), F.size("shingles").cast("long"))
-    rows = tokens.join(held_by, "token").join(facts.select("node", total.alias("weight"), F.size("shingles").alias("n")), "node")
+    tokens = facts.select("node", total.alias("weight"), F.size("shingles").alias("n"), "times", F.posexplode("shingles").alias("i", "token"))
+    tokens = tokens.select("node", "weight", "n", "token", F.coalesce(F.get("times", "i"), F.lit(1)).cast("long").alias("x"))
+    held_by = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
+    rows = tokens.join(held_by, "token")
     later = W.partitionBy("node").orderBy("m", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
     # what comes before a shingle: those that no other set holds, and the rarer ones
     rows = rows.select("node", "token", "weight", "n", F.sum("x").over(later).alias("x"), F.count("*").over(later).alias("k"))
