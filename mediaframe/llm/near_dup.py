@@ -223,22 +223,67 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(facts: DataFrame, similar: float) -> DataFrame:
-    """token, node: the rarest shingles of each set, so many that two sets with a link share one of them.
-
-    Of a link each side's weight, or each side's number of shingles, lies by ``similar`` at least on shared shingles:
-    a term of the probability Jaccard similarity is at most x_s / sum of x. In any one order of all shingles those before
-    the first shared one come to 1 - ``similar`` of either side at most, so it is among those kept here. The order is
-    by the number of sets that hold a shingle, the rare ones first.
+    """bucket, node, label, v, h, apt: the rarest shingles of each set, so many that two sets with a link and different labels share one.
+
+    facts: node, label, shingles, times. Shingles that only one label holds are shared by no pair in question; the others
+    are put into one order of all, by the number of sets that hold them, the rare ones first. What lies before the first
+    shared one is not shared. With p and q the parts of two sets, or of their weights, that are not shared, the Jaccard similarity of the sets is
+    (1 - p) (1 - q) / (1 - p q), and the probability Jaccard similarity of the weights that at most: in a term's inner sum
+    are p / x_s + q / y_s and the larger one of (1 - p) / x_s and (1 - q) / y_s at least, and the terms then add up to this at most.
+    So a set is dealt by a shingle only if p is 1 - ``similar`` at most, once by sets and once by weights, and two rows of a
+    bucket can be a link only if each one's v is at most the other's h. By sets v is the size, and h the
+    size up to which another one, of which it holds what is left, could be linked; by weights v is p and h the largest q.
+    By weights one of the two, apt, must repeat shingles.
+    """
+    times = F.coalesce(F.get("times", "i"), F.lit(1))
+    tokens = facts.select("node", "label", "times", F.posexplode("shingles").alias("i", "token")).select("node", "label", "token", times.alias("x"))
+    held_by = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "m")
+    held_by = materialize(held_by, "tokens")
+    # The commonest go to the tasks as they are, at most one for BLOCK rows; so only rows of rare shingles are joined.
+    common = held_by.where(F.col("m") > BLOCK).orderBy(F.desc("m"), "token").limit(BROADCAST_ROWS).toPandas().sort_values("token")
+    often, many = common["token"].to_numpy(np.int32), common["m"].to_numpy(np.int64)
+    others = held_by.where(F.col("m") <= (int(many.min()) if len(often) == BROADCAST_ROWS else BLOCK))
+    seldom = tokens.join(others, "token").groupBy("node").agg(F.collect_list("token").alias("known"), F.collect_list("m").alias("ms"))
+
+    def go(shingles: list, times: list, known: list, ms: list) -> tuple:
+        out = []
+        for ids, x, k, n_k in zip(shingles, times, known, ms, strict=True):
+            ids = np.array(ids, np.int32)
+            order = np.argsort(ids)
+            ids, x, m = ids[order], np.ones(len(ids), np.int64) if x is None else np.array(x, np.int64)[order], np.zeros(len(ids), np.int64)
+            if k:
+                m[np.searchsorted(ids, np.array(k, np.int32))] = n_k
+            at = np.searchsorted(often, ids)
+            at[at == len(often)] = 0
+            if len(often):
+                m = np.where(often[at] == ids, many[at], m)
+            shared = np.flatnonzero(m)
+            shared = shared[np.lexsort((ids[shared], m[shared]))]
+            n, weight, xs = len(ids), x.sum(), x[shared]
+            before = n - len(shared) + np.arange(len(shared))
+            p = (weight - xs.sum() + np.cumsum(xs) - xs) / weight
+            q = (1 - similar - p) / (1 - p - similar * p)
+            reach = (1 + similar) / similar * (n - before) - n
+            out.append([{"rule": 0, "token": t, "v": float(n), "h": h} for t, h in zip(ids[shared].tolist(), (reach + 1e-6).tolist(), strict=True) if h >= similar * n])
+            out[-1] += [{"rule": 1, "token": t, "v": v, "h": h} for t, v, h in zip(ids[shared].tolist(), p.tolist(), (q + 1e-9).tolist(), strict=True) if v <= 1 - similar + 1e-9]
+        return (out,)
+
+    rows = map_rows(facts.join(seldom, "node", "left"), ["node", "label", "repeats"], ["shingles", "times", "known", "ms"], go, "p array<struct<rule: int, token: int, v: double, h: double>>")
+    rows = rows.select("node", "label", "repeats", F.inline("p"))
+    return rows.select(F.xxhash64("rule", "token").alias("bucket"), "node", "label", "v", "h", (F.col("repeats") | (F.col("rule") == 0)).alias("apt"))
+
+
+def reachable(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, label, v, h, apt) without those of which aggregates show that their bucket has no partner of another label.
+
+    A bucket's smallest label, mostly that of its largest component, is told from all others.
     """
-    total = F.coalesce(F.aggregate("times", F.lit(0).cast("long"), lambda t, x: t + x), F.size("shingles").cast("long"))
-    tokens = facts.select("node", total.alias("weight"), F.size("shingles").alias("n"), "times", F.posexplode("shingles").alias("i", "token"))
-    tokens = tokens.select("node", "weight", "n", "token", F.coalesce(F.get("times", "i"), F.lit(1)).cast("long").alias("x"))
-    held_by = materialize(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
-    rows = tokens.join(held_by, "token")
-    later = W.partitionBy("node").orderBy("m", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
-    # what comes before a shingle: those that no other set holds, and the rarer ones
-    rows = rows.select("node", "token", "weight", "n", F.sum("x").over(later).alias("x"), F.count("*").over(later).alias("k"))
-    return rows.where(f"weight - x <= {1 - similar!r} * weight + 1e-9 or n - k <= {1 - similar!r} * n + 1e-9").select("token", "node")
+    per = materialize(rows.groupBy("bucket", "label").agg(F.min("v").alias("v"), F.max("h").alias("h"), F.max("apt").alias("apt")), "reach")
+    whole = per.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("last"), F.min("v").alias("v_all"), F.max("h").alias("h_all"), F.max("apt").alias("apt_all")).where("one <> last and apt_all")
+    rest = per.join(whole, "bucket").where("label <> one").groupBy("bucket").agg(F.first("one").alias("one"), F.first("v_all").alias("v_all"), F.first("h_all").alias("h_all"), F.min("v").alias("v_rest"), F.max("h").alias("h_rest"))
+    mine = F.col("label") == F.col("one")
+    kept = rows.join(rest, "bucket").where((F.when(mine, F.col("v_rest")).otherwise(F.col("v_all")) <= F.col("h")) & (F.col("v") <= F.when(mine, F.col("h_rest")).otherwise(F.col("h_all"))))
+    return materialize(kept.select(*rows.columns), "rare")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -250,8 +295,9 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
     """Links between the components that still meet in a bucket of more than two texts.
 
     The members of a bucket of up to BLOCK texts are compared in one task, sets and all. Those of larger
-    buckets are dealt out anew by their rarest shingles, one of which any two linked sets share; where
-    even such a shingle is in more than BLOCK of them, its holders are dealt to blocks and every two blocks
+    buckets are dealt out anew by their rarest shingles, one of which any two linked sets share, as far as sizes and
+    parts that are not shared leave a partner possible; where even such a shingle is left in more than BLOCK
+    of them, its holders are dealt to blocks and every two blocks
     are compared in one task. A pair is compared unless its ends are connected already, and of the links
     only those that connect something more leave the task: fewer rows than texts in it.
     """
@@ -260,30 +306,30 @@ def cross_links(docs: DataFrame, members: DataFrame, labels: DataFrame, distinct
     wanted = distinct.join(rows.select("node").distinct(), "node", "left_semi")
     facts = materialize(wanted.select("node", "sig").join(shingle_sets(docs, wanted.select("node", "doc_id")), "node"), "facts")
     large = rows.where(F.col("n") > BLOCK).select("node", "label").distinct()
-    rows = rows.where(F.col("n") <= BLOCK)
+    rows = rows.where(F.col("n") <= BLOCK).withColumns({"v": F.lit(0.0), "h": F.lit(0.0)})
     if large.limit(1).count():
-        rare = rare_prefixes(facts.join(large.select("node"), "node", "left_semi"), similar)
-        dealt = rare.join(large, "node").select(F.xxhash64(F.lit(9), "token").alias("bucket"), F.lit(0).alias("band"), "node", "label")
-        dealt = materialize(_split(dealt), "rare")
-        dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        rare = rare_prefixes(facts.join(large, "node").withColumn("repeats", F.col("times").isNotNull()), similar)
+        dealt = materialize(_split(reachable(reachable(materialize(rare, "dealt")))), "rare")
+        dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").withColumn("band", F.lit(0))
         rows = rows.unionByName(dealt.select(*rows.columns))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "node"), blocks).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "label").join(facts, "node")
+    rows = rows.select("bucket", "band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "label", "v", "h").join(facts, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
         node, mine, sets, times = pdf["node"].to_numpy(), pdf["mine"].to_numpy(), pdf["shingles"].tolist(), pdf["times"].tolist()
         weighted = np.array([t is not None for t in times])
         size, band = np.array([len(s) for s in sets]), int(pdf["band"].iloc[0])
+        v, h = pdf["v"].to_numpy(), pdf["h"].to_numpy()
         comp = pdf["label"].to_numpy().copy()  # changes as links are found
         left, right = np.flatnonzero(mine == pdf["p"].iloc[0]), np.flatnonzero(mine == pdf["q"].iloc[0])
         found = []
         for i in left:
             equal = sig[right] == sig[i]
             met = equal.reshape(len(right), -1, ROWS).all(axis=2)
-            ok = ~met[:, :band].any(axis=1) & (comp[right] != comp[i])
+            ok = ~met[:, :band].any(axis=1) & (comp[right] != comp[i]) & (v[right] <= h[i]) & (h[right] >= v[i])
             ok &= weighted[right] | weighted[i] | (np.minimum(size[right], size[i]) >= similar * np.maximum(size[right], size[i]) - ROUNDING)
             for j in right[ok]:
                 if comp[i] != comp[j] and similarity(sets[i], times[i], sets[j], times[j]) >= similar - ROUNDING:

@@ -244,6 +244,31 @@ def test_near_dup_dense_groups(spark, monkeypatch):
     assert got == expected_classes(list(range(len(texts))), texts)
 
 
+def test_near_dup_large_group_is_not_dealt_out_whole(spark, monkeypatch):
+    """Copies of one text at many distances, some with repeated lines: at most four rows a text are left to be compared, and no link is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    dealt, write = [], near_dup.materialize
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "rare":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", written)
+    rng, texts = random.Random(3), []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(240):
+        t = base[:]
+        for j in rng.sample(range(150), rng.randint(0, 7)):
+            t[j] = f"x{i}y{j}"
+        texts.append(" ".join(t + t[:8] * (i % 6 == 0) * rng.randint(1, 3)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    assert got == expected_classes(list(range(len(texts))), texts) and len(set(got.values())) > 20
+    assert dealt and dealt[-1] <= 4 * len(texts), dealt
+
+
 def test_near_dup_repeated_lines(spark):
     """Near copies of which one repeats a line hundreds of times are links of the sets all the same."""
     rng, texts = random.Random(5), []
