@@ -12,6 +12,7 @@ stand; an empty table packs to an empty table; null doc_id stays null.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from functools import lru_cache
@@ -33,17 +34,22 @@ class Encoder:
     """Ids as little-endian 32-bit bytes, by way of what is already known.
 
     The tokenizer treats words between white space alone, so ids are kept by stretch between spaces and,
-    below that, by normalised word; both stores are emptied when full. Unknown words go to the tokenizer
-    many at a time, and its ids are cut where a word's last token ends.
+    below that, by normalised word. A full store becomes an older one, from which only what is met again
+    is taken over, so frequent words are never learned anew. Unknown words go to the tokenizer many at a time, and its
+    ids are cut where a word's last token ends.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        # for words that are folded and cut already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         spec = json.loads(open(path, encoding="utf-8").read())
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -53,6 +59,8 @@ class Encoder:
             self.ends[i] = token.endswith(suffix)
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_stretches: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,9 +69,10 @@ class Encoder:
         for a in range(0, len(words), 2000):
             part = words[a : a + 2000]
             text = " ".join(part)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and self.tok.normalizer.normalize_str(text) == text:
+            # words are folded already; only what is not ASCII could be changed by that once more
+            if len(cuts) == len(part) and (text.isascii() or self.tok.normalizer.normalize_str(text) == text):
                 raw, at = ids.tobytes(), 0
                 for word, cut in zip(part, (cuts * 4).tolist(), strict=True):
                     self.words[word], at = raw[at:cut], cut
@@ -81,19 +90,34 @@ class Encoder:
         if len(folded) != len(other):
             odd, other, folded = odd + other, [], []
         self.stretches.update((s, self.plain(s)) for s in odd)
-        folded = [s.lower() for s in plain] + folded
-        cut = [[x] if x.isalpha() else self.word.findall(x) for x in folded]
-        self.learn_words(list({w for ws in cut for w in ws if w not in self.words}))
+        folded = (" ".join(plain).lower().split(" ") if plain else []) + folded
+        cut = [(x,) if x.isalpha() else self.word.findall(x) for x in folded]
+        new = set().union(*cut).difference(self.words)
+        again = new & self.old_words.keys()
+        self.words.update(zip(again, map(self.old_words.__getitem__, again)))
+        self.learn_words(sorted(new - again, key=str.isascii))
         of = self.words
-        self.stretches.update((s, of[ws[0]] if len(ws) == 1 else b"".join(of[w] for w in ws)) for s, ws in zip(plain + other, cut, strict=True))
+        self.stretches.update((s, of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])) for s, ws in zip(plain + other, cut, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # no cycles are made here, and each look for them passes all lists of words
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.stretches) > self.most:
-            self.stretches.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
+            self.stretches, self.old_stretches = {}, self.stretches
+        if len(self.words) > self.most // 2:
+            self.words, self.old_words = {}, self.words
         cut = [[] if not t else [x for x in SPACE.split(t) if x] if PYTHON_ONLY.search(t) else t.split() for t in texts]
         new = set().union(*cut).difference(self.stretches)
+        again = new & self.old_stretches.keys()
+        self.stretches.update(zip(again, map(self.old_stretches.__getitem__, again)))
+        new -= again
         if new:
             self.learn(list(new))
         of = self.stretches.__getitem__

@@ -507,6 +507,18 @@ def test_licenses_gate_loses_nothing(spark, monkeypatch):
 # ---- packing ----------------------------------------------------------------------------------
 
 
+def test_encoder_keeps_frequent_words_when_full():
+    """Words met in every batch go to the tokenizer once, however many others fill the stores; ids stay the tokenizer's."""
+    enc, sent = packing.Encoder(packing.default_tokenizer(), most=60), []
+    learn = enc.learn_words
+    enc.learn_words = lambda words: (sent.extend(words), learn(words))[1]
+    for k in range(20):
+        texts = [f"The quick Br\u00fccke, fox; caf\u00e9 n{chr(97 + k)}{chr(97 + i)}x, \u00c9t{chr(97 + k)}{chr(97 + i)}" for i in range(20)]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert all(sent.count(w) == 1 for w in ("the", "quick", "fox", "caf\u00e9", ","))
+
+
 def test_encoder_equals_tokenizer():
     enc, rng = packing.Encoder(packing.default_tokenizer(), most=500), random.Random(1)
     letters = "aAbİßẞéÉ'sS tT́Å12٣²Ⅳ.,!<|>\x1c ᠎​漢字ﬁΣσς\t\n|"
