@@ -2,10 +2,14 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import both
 from pyspark.sql import functions as F
@@ -527,6 +531,38 @@ def test_encoder_equals_tokenizer():
         assert enc.encode(texts[a : a + 200]) == [enc.plain(t or "") for t in texts[a : a + 200]]
 
 
+@pytest.mark.parametrize("chunk", [16, 1 << 20])
+def test_encoder_cuts_columns(monkeypatch, chunk):
+    """Slices, nulls, words longer than a chunk, texts that end without white space, and special tokens in capitals."""
+    monkeypatch.setattr(packing, "CHUNK", chunk)
+    enc, rng = packing.Encoder(packing.default_tokenizer(), most=40), random.Random(2)
+    parts = ["Fox", "fox,", "3a44", " ", "  ", "\n", "\t", "\x1c", "\x7f", "\0", "don't", "'s", "caf\u00e9", "H\u0331x", "\u0130", "<|", "<|ENDOFTEXT|>", "<|endoftext|>", "a<b", "|>", "\u00a0", "\u3000y", "x" * 40]
+    texts = [None, "", "a", "b", " ", "<|ENDOFTEXT|> x", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(600))]
+    for kind in (pa.string(), pa.large_string()):
+        for a in range(0, len(texts), 101):
+            got = enc.encode_column(pa.array([None, "skipped", *texts[a : a + 101]], kind)[2:])
+            assert got == [enc.plain(t or "") for t in texts[a : a + 101]]
+    assert enc.encode_column(pa.array([], pa.string())) == []
+
+
+def test_worker_memory_of_packing():
+    """A worker holds one model, and of many strings no more than its two stores."""
+    code = """
+import re
+from mediaframe.llm import packing
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+import json, regex, tokenizers, pyarrow, pyarrow.compute
+before = held()
+enc = packing.Encoder(packing.default_tokenizer(), most=1000)
+print(held() - before)
+for k in range(20):
+    enc.encode([f"q{chr(97 + k)}{i}x, w{chr(97 + k)}y{i}." for i in range(300)])
+print(sum(len(x) for x in vars(enc).values() if isinstance(x, dict)))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split()
+    assert float(out[0]) < 40 and int(out[1]) <= 4000
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_plan(seed):
     rng = random.Random(seed)
