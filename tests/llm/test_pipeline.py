@@ -8,7 +8,7 @@ import pytest
 from test_ops_bytes import brute
 from test_ops_text import expected_classes
 
-from mediaframe.llm import mixing, near_dup, packing
+from mediaframe.llm import common, mixing, near_dup, packing
 from mediaframe.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,11 @@ def test_empty_and_all_rejected(spark):
     assert [df.count() for df in through(spark, empty)] == [0] * 6
     unknown = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", None, None, 0), (2, "--", "fr", "s", 2)], COLUMNS)
     assert [df.count() for df in through(spark, unknown)] == [3, 0, 0, 0, 0, 0]
+
+
+def test_idle_workers_give_memory_back(monkeypatch):
+    """A worker that turns to a task gives back what Arrow and the C library kept of the last one, whether it held caches or not."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    common.let_go()
+    assert called == [1]
