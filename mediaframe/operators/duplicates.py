@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,20 +136,24 @@ def similar_pairs_exact(hashes: DataFrame, threshold: int = THRESHOLD, key: str
     No bucket is skipped. The 64 bits are cut into threshold / 2 + 1 bands, so two hashes within the
     threshold differ by at most one bit in some band: one side looks up its bands, the other its bands
     and what is one bit away from them. With the threshold of 5 a band has 21 or 22 bits, so a bucket of N
-    different hashes holds about N / 2 million of them.
+    different hashes holds about N / 2 million of them. A pair counts in the first band that finds it.
+
+    Both sides are sorted and merged: Spark takes them to be as small as the file of hashes before they are
+    multiplied, 67 times on one side, and would otherwise broadcast them through the driver.
     """
-    rows = hashes.where(F.col(phash).isNotNull()).select(F.col(key).alias("id"), F.col(phash).alias("h"))
+    rows = materialize(hashes.where(F.col(phash).isNotNull()).select(F.col(key).alias("id"), F.col(phash).alias("h")), "rows")
     distinct = materialize(rows.groupBy("h").agg(F.min("id").alias("id")), "hashes")
     parts = threshold // 2 + 1
     ends = [64 * i // parts for i in range(parts + 1)]
-    cut = lambda i: F.shiftrightunsigned("h", 64 - ends[i + 1]).bitwiseAND((1 << (ends[i + 1] - ends[i])) - 1)
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), cut(i).alias("value")) for i in range(parts)))
-    near = [F.struct(F.lit(i).alias("band"), cut(i).bitwiseXOR(F.lit(flip)).alias("value")) for i in range(parts) for flip in [0, *(1 << k for k in range(ends[i + 1] - ends[i]))]]
+    cut = lambda x, i: F.shiftrightunsigned(x, 64 - ends[i + 1]).bitwiseAND((1 << (ends[i + 1] - ends[i])) - 1)
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), cut("h", i).alias("value")) for i in range(parts)))
+    near = [F.struct(F.lit(i).alias("band"), cut("h", i).bitwiseXOR(F.lit(flip)).alias("value")) for i in range(parts) for flip in [0, *(1 << k for k in range(ends[i + 1] - ends[i]))]]
     left = distinct.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(bands))
     right = distinct.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(F.array(*near)))
     distance = hashing.hamming(F.col("ha"), F.col("hb"))
-    pairs = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
-    copies = rows.join(distinct.select("h", F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    unmet = [(F.col("band") <= i) | (F.bit_count(cut(F.col("ha").bitwiseXOR(F.col("hb")), i)) > 1) for i in range(parts - 1)]  # by the bands before
+    pairs = left.join(right.hint("merge"), ["band", "value"]).where(reduce(Column.__and__, unmet, (F.col("a") < F.col("b")) & (distance <= threshold))).select("a", "b", distance.alias("distance"))
+    copies = rows.join(distinct.select("h", F.col("id").alias("a")).hint("merge"), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return pairs.unionByName(copies)
 
 

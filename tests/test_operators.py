@@ -132,6 +132,22 @@ def test_sync_replan_is_empty(spark):
     assert {r.action for r in again.collect()} == {"same"}
 
 
+def test_similar_pairs_exact_at_any_size(spark):
+    import random
+
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    held = base + [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 1, 3, 5, 5, 6, 7)]
+    signed = {i: h - (1 << 64) if h >> 63 else h for i, h in enumerate(held)}
+    df = spark.createDataFrame([*signed.items(), (500, None)], "id long, phash long")
+    got = duplicates.similar_pairs_exact(df)
+    first = {h: min(i for i in signed if signed[i] == h) for h in signed.values()}
+    near = [(a, b, ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count()) for a in first.values() for b in first.values() if a < b]
+    copies = [(first[h], i, 0) for i, h in signed.items() if i != first[h]]
+    assert sorted(map(tuple, got.collect())) == sorted([p for p in near if p[2] <= 5] + copies)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # nothing that grows goes through the driver
+
+
 def test_collisions(spark):
     plan = spark.createDataFrame([("/1/a.jpg", "/o/a.jpg"), ("/2/a.jpg", "/o/a.jpg"), ("/3/a.jpg", "/o/a.jpg"), ("/1/b", "/o/b")], "source string, target string")
     there = spark.createDataFrame([("/o/a.jpg",), ("/o/a (2).jpg",)], "path string")
