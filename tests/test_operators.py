@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaframe import schema
-from mediaframe.operators import bursts, catalog, components, duplicates, folders, ingest, journal, membership, organize, sync
+from mediaframe.operators import bursts, catalog, components, diameter, duplicates, folders, ingest, journal, membership, organize, sync
 from mediaframe.plans import fileops
 
 
@@ -133,8 +133,6 @@ def test_sync_replan_is_empty(spark):
 
 
 def test_similar_pairs_exact_at_any_size(spark):
-    import random
-
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(12)]
     held = base + [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 1, 3, 5, 5, 6, 7)]
@@ -145,7 +143,19 @@ def test_similar_pairs_exact_at_any_size(spark):
     near = [(a, b, ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count()) for a in first.values() for b in first.values() if a < b]
     copies = [(first[h], i, 0) for i, h in signed.items() if i != first[h]]
     assert sorted(map(tuple, got.collect())) == sorted([p for p in near if p[2] <= 5] + copies)
-    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # nothing that grows goes through the driver
+    assert not _broadcasts(got)  # nothing that grows goes through the driver
+
+
+def _broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_job_spreads_clusters(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 3), (5, 3)], "node long, label long").write.parquet(f"{tmp_path}/c")
+    media = spark.createDataFrame([(i, 10 * i) for i in range(7)], "id long, file_size long")
+    got = duplicates.similar_savings(spark.read.parquet(f"{tmp_path}/c"), media)
+    assert sorted(map(tuple, got.collect())) == [(0, 2, 10), (3, 3, 70)]
+    assert not _broadcasts(got)  # a cluster's members are as many rows as media
 
 
 def test_collisions(spark):
