@@ -163,11 +163,11 @@ def fill_hashes(media: DataFrame, *pictures: DataFrame, key: str = "id", phash:
     pictures: tables of id and cells, 64 gray values row by row, the preferred one (thumbnails) first. Only pictures of
     media without a hash are read on. Media without either have a null hash.
     """
-    rows = media.select(F.col(key).alias("id"), F.col(phash).alias("phash"))
+    rows = materialize(media.select(F.col(key).alias("id"), F.col(phash).alias("phash")), "stored")  # what is lacking is asked for several times
     lacking = rows.where("phash is null").select("id")
     made = lacking
     for i, p in enumerate(pictures):
-        one = p.where(F.size("cells") == 64).join(lacking, "id", "left_semi").groupBy("id").agg(F.min("cells").alias(f"__c{i}"))
+        one = p.where(F.size("cells") == 64).join(lacking.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("cells").alias(f"__c{i}"))
         made = made.join(one, "id", "left")
     cells = F.coalesce(*(F.col(f"__c{i}") for i in range(len(pictures)))) if pictures else F.lit(None).cast("array<long>")
     made = made.select("id", hashing.average_hash(cells).alias("phash")).distinct()

@@ -158,6 +158,17 @@ def test_similar_job_spreads_clusters(spark, tmp_path):
     assert not _broadcasts(got)  # a cluster's members are as many rows as media
 
 
+def test_fill_hashes_spreads_what_is_lacking(spark):
+    media = spark.createDataFrame([(1, 7), (2, None), (3, None), (4, None)], "id long, phash long")
+    dark, bright = [0] * 63 + [9], [9] + [0] * 63
+    thumbs = spark.createDataFrame([(1, dark), (2, dark)], "id long, cells array<long>")
+    full = spark.createDataFrame([(2, bright), (3, bright)], "id long, cells array<long>")
+    got = duplicates.fill_hashes(media, thumbs, full)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, False), (2, 1, True), (3, -(1 << 63), True), (4, None, False)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" not in plan and "SortMergeJoin" in plan
+
+
 def test_collisions(spark):
     plan = spark.createDataFrame([("/1/a.jpg", "/o/a.jpg"), ("/2/a.jpg", "/o/a.jpg"), ("/3/a.jpg", "/o/a.jpg"), ("/1/b", "/o/b")], "source string, target string")
     there = spark.createDataFrame([("/o/a.jpg",), ("/o/a (2).jpg",)], "path string")
