@@ -198,10 +198,10 @@ def similar_clusters(pairs: DataFrame) -> DataFrame:
 
 def cluster_scores(clusters: DataFrame, hashes: DataFrame, key: str = "id", phash: str = "phash") -> DataFrame:
     """cluster, n, score: 1 - (largest distance of any two members) / 64, over the whole cluster, by pivots and blocks."""
-    rows = clusters.join(hashes.select(F.col(key).alias("node"), F.col(phash).alias("h")), "node")
+    rows = clusters.join(hashes.select(F.col(key).alias("node"), F.col(phash).alias("h")).hint("merge"), "node")
     far = diameter.farthest(rows)
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    return sizes.join(far, "label").select(F.col("label").alias("cluster"), "n", (1.0 - F.col("far") / 64.0).alias("score"))
+    return sizes.join(far.hint("merge"), "label").select(F.col("label").alias("cluster"), "n", (1.0 - F.col("far") / 64.0).alias("score"))
 
 
 def preferred(members: DataFrame, group: str, order: list[str], flag: str = "is_preferred") -> DataFrame:

@@ -331,5 +331,5 @@ def group_member_list(r: Roles) -> DataFrame:
 )
 def similar_scores_exact(r: Roles) -> DataFrame:
     """Scores of the clusters of all pairs within the threshold, no bucket left out."""
-    hashes = r.hashes()
+    hashes = materialize(r.hashes(), "hashes")
     return duplicates.cluster_scores(duplicates.similar_clusters(duplicates.similar_pairs_exact(hashes)), hashes)

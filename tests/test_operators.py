@@ -169,6 +169,16 @@ def test_fill_hashes_spreads_what_is_lacking(spark):
     assert "LeftSemi, BuildRight" not in plan and "SortMergeJoin" in plan
 
 
+def test_cluster_scores_spreads_hashes(spark, monkeypatch):
+    seen, farthest = [], diameter.farthest
+    monkeypatch.setattr(diameter, "farthest", lambda rows: seen.append(rows) or farthest(rows))
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)], "node long, label long")
+    hashes = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (8, 5), (9, 5)], "id long, phash long")
+    got = duplicates.cluster_scores(clusters, hashes)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 1 - 2 / 64), (8, 2, 1.0)]
+    assert not _broadcasts(got) and not _broadcasts(seen[0])
+
+
 def test_collisions(spark):
     plan = spark.createDataFrame([("/1/a.jpg", "/o/a.jpg"), ("/2/a.jpg", "/o/a.jpg"), ("/3/a.jpg", "/o/a.jpg"), ("/1/b", "/o/b")], "source string, target string")
     there = spark.createDataFrame([("/o/a.jpg",), ("/o/a (2).jpg",)], "path string")
