@@ -28,24 +28,25 @@ def plan_totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"), F.count_distinct("subfolder").alias("new_folders"))
 
 
-def resolve_collisions(plan: DataFrame, existing: DataFrame, most: int = 1000) -> DataFrame:
-    """plan with final_target: taken names get `` (n)`` before the extension; null beyond n < most.
+def resolve_collisions(plan: DataFrame, existing: DataFrame, most: int | None = None) -> DataFrame:
+    """plan with final_target: taken names get `` (n)`` before the extension; null from n = most on, if that is given.
 
     existing: path, the files that are there. Of several moves to one target the first by source keeps
     the name if it is free; free numbers are handed out in order, passing over those that exist.
     """
     taken = existing.select(F.col("path").alias("target"), F.lit(True).alias("__taken")).distinct()
     rows = plan.join(taken, "target", "left").withColumn("__k", F.row_number().over(W.partitionBy("target").orderBy("source")) - F.when(F.col("__taken"), 0).otherwise(1))
-    stem, ext = F.regexp_extract("target", "^(.*?)(\\.[^./]*)?$", 1), F.regexp_extract("target", "^(.*?)(\\.[^./]*)?$", 2)
-    wanted = rows.withColumn("__stem", stem).withColumn("__ext", ext)
-    # numbers in use beside each target that needs one
-    used = existing.select(F.regexp_extract("path", "^(.*) \\(([0-9]+)\\)(\\.[^./]*)?$", 1).alias("__stem"), F.regexp_extract("path", "^(.*) \\(([0-9]+)\\)(\\.[^./]*)?$", 3).alias("__ext"), F.regexp_extract("path", "^(.*) \\(([0-9]+)\\)(\\.[^./]*)?$", 2).try_cast("int").alias("n"))
-    used = used.where(F.col("n") < most).groupBy("__stem", "__ext").agg(F.collect_set("n").alias("__used"))
-    wanted = wanted.join(used, ["__stem", "__ext"], "left")
-    free = F.array_except(F.sequence(F.lit(1), F.lit(most - 1)), F.coalesce("__used", F.array().cast("array<int>")))
-    n = F.get(free, F.col("__k") - 1)
-    final = F.when(F.col("__k") == 0, F.col("target")).when(n.isNotNull(), F.concat("__stem", F.lit(" ("), n.cast("string"), F.lit(")"), "__ext"))
-    return wanted.withColumn("final_target", final).select(*plan.columns, "final_target")
+    name = "(?s)^(.*?)(\\.[^./]*)?\\z"
+    wanted = rows.withColumns({"__stem": F.regexp_extract("target", name, 1), "__ext": F.regexp_extract("target", name, 2), "__at": F.col("__k").cast("long"), "__held": F.lit(0)})
+    # Numbers in use stand among the moves: the j-th of them, u, lies before the k-th free number if fewer than k are free below it, u - j < k.
+    numbered = "(?s)^(.*) \\(([1-9][0-9]*)\\)(\\.[^./]*)?\\z"
+    used = existing.select(F.regexp_extract("path", numbered, 1).alias("__stem"), F.regexp_extract("path", numbered, 3).alias("__ext"), F.regexp_extract("path", numbered, 2).try_cast("long").alias("__u")).where("__u is not null").distinct()
+    used = used.select("__stem", "__ext", (F.col("__u") - F.row_number().over(W.partitionBy("__stem", "__ext").orderBy("__u")) + 1).alias("__at"), F.lit(1).alias("__held"))
+    before = W.partitionBy("__stem", "__ext").orderBy("__at", F.desc("__held")).rowsBetween(W.unboundedPreceding, 0)
+    placed = wanted.unionByName(used, allowMissingColumns=True).withColumn("__n", F.col("__k") + F.sum("__held").over(before)).where("__held = 0")
+    fits = F.lit(True) if most is None else F.col("__n") < most
+    final = F.when(F.col("__k") == 0, F.col("target")).when(fits, F.concat("__stem", F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), "__ext"))
+    return placed.withColumn("final_target", final).select(*plan.columns, "final_target")
 
 
 def date_folder_plan(folders: DataFrame, path: str = "path") -> DataFrame:

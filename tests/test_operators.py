@@ -186,6 +186,21 @@ def test_collisions(spark):
     assert got == {"/1/a.jpg": "/o/a (1).jpg", "/2/a.jpg": "/o/a (3).jpg", "/3/a.jpg": "/o/a (4).jpg", "/1/b": "/o/b"}
 
 
+def test_collisions_number_every_move(spark):
+    moves = [(f"/{i:04}/a.jpg", "/o/a.jpg") for i in range(1_500)] + [(f"/{i}/c", "/o/c") for i in range(4)] + [("/0/x\ny.jpg", "/o/x\ny.jpg"), ("/1/x\ny.jpg", "/o/x\ny.jpg")]
+    there = {"/o/c", "/o/c (1)", "/o/c (2)", "/o/c (4)", "/o/c (007)", "/o/c (99999999999999999999)", *(f"/o/a ({n}).jpg" for n in (1, 2, 5, 1_003, 1_004, 1_400, 5_000))}
+    plan = spark.createDataFrame(moves, "source string, target string")
+    there_df = spark.createDataFrame([(p,) for p in there], "path string")
+    want, names = {}, set(there)
+    for source, target in sorted(moves):
+        stem, dot, ext = target.partition(".")
+        want[source] = next(x for x in (target, *(f"{stem} ({n}){dot}{ext}" for n in range(1, 2_000))) if x not in names)
+        names.add(want[source])
+    assert {r.source: r.final_target for r in organize.resolve_collisions(plan, there_df).collect()} == want
+    cut = {r.source: r.final_target for r in organize.resolve_collisions(plan, there_df, 1_000).collect()}
+    assert cut["/0993/a.jpg"] == want["/0993/a.jpg"] == "/o/a (996).jpg" and cut["/0996/a.jpg"] == "/o/a (999).jpg" and cut["/0997/a.jpg"] is None
+
+
 def test_rules(spark):
     media = spark.createDataFrame([(1, "Trip.jpg", "X100"), (2, "b.jpg", None)], "id long, file_name string, camera_model string")
     rules = spark.createDataFrame(
