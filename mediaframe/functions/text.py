@@ -43,11 +43,11 @@ def base_url(x: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in B, KB, MB, GB or TB with one decimal from KB up."""
+    """Bytes in B, KB, MB, GB or TB with one decimal from KB up, halves to the even one; null for null."""
     n = n.cast("double")
-    out = F.format_string("%.0f B", n)
+    out = F.when(n.isNotNull(), F.format_string("%.0f B", n))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024.0**i, F.format_string(f"%.1f {unit}", n / 1024.0**i)).otherwise(out)
+        out = F.when(n >= 1024.0**i, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**i, 1))).otherwise(out)
     return out
 
 

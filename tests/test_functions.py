@@ -77,6 +77,11 @@ def test_paths(spark):
     assert values(spark, [-12.5, 12.5], text.js_round, "x double") == [-12, 13]
 
 
+def test_sizes_between_two_decimals(spark):
+    sizes = [1280, 1279, 1281, 1792, 1310720, 7936, 1023, 1331, 0, None]
+    assert values(spark, sizes, text.human_size, "x long") == ["1.2 KB", "1.2 KB", "1.3 KB", "1.8 KB", "1.2 MB", "7.8 KB", "1023 B", "1.3 KB", "0 B", None]
+
+
 def test_scannable(spark):
     given = ["/r/a.jpg", "/r/.x/a.jpg", "/r/node_modules/a.jpg", "/r/P.app/a.jpg", "/r/.a.jpg", "/r/a.txt", "/r/Thumbs.db", "/r/sub/v.MOV"]
     assert values(spark, given, lambda x: sources.scannable(x, "/r")) == [True, False, False, False, False, False, False, True]
