@@ -98,7 +98,7 @@ def search_wide(media: DataFrame, exif: DataFrame, query: str, limit: int = 100)
 
 def sorted_media(media: DataFrame, exif: DataFrame, key: str, descending: bool = False) -> DataFrame:
     """The whole catalog by name, path, date, modified, size, pixels or extension; ties by id."""
-    rows = with_exif(media, exif.select("media_id", "date_taken"))
+    rows = with_exif(media, exif.select("media_id", "date_taken").hint("merge"))  # a small file, but as many rows as there are media
     keys = {
         "name": F.lower("file_name"),
         "path": F.col("file_path"),
@@ -112,7 +112,10 @@ def sorted_media(media: DataFrame, exif: DataFrame, key: str, descending: bool =
 
 
 def places(ordered: DataFrame) -> DataFrame:
-    """A sorted DataFrame with place, each row's number from 1: counts per sorted partition and the place within it."""
+    """A sorted DataFrame with place, each row's number from 1: counts per sorted partition and the place within it.
+
+    Its rows are written down, so select what is needed of them before.
+    """
     held = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("__at", 33)
     counts = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))

@@ -24,7 +24,7 @@ ORDERS = {"name": "lower(file_name)", "path": "file_path", "date": "coalesce(dat
     "media", "exif",
 )
 def media_sort_keys(r: Roles) -> DataFrame:
-    one = lambda k, way: catalog.places(catalog.sorted_media(r.media(), r.exif(), k, way == "DESC")).select("id", F.lit(k + way).alias("sorted_by"), "place")
+    one = lambda k, way: catalog.places(catalog.sorted_media(r.media(), r.exif(), k, way == "DESC").select("id")).select("id", F.lit(k + way).alias("sorted_by"), "place")
     return reduce(DataFrame.unionByName, [one(k, way) for k in ORDERS for way in ("ASC", "DESC")])
 
 

@@ -179,6 +179,16 @@ def test_cluster_scores_spreads_hashes(spark, monkeypatch):
     assert not _broadcasts(got) and not _broadcasts(seen[0])
 
 
+def test_sort_keys_write_ids_alone(spark, monkeypatch):
+    from mediaframe import queries, state_queries  # noqa: F401
+
+    written, materialize = [], catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.append((df, name)) or materialize(df, name))
+    queries.QUERIES["media_sort_keys"](spark, "/root/testdata/sf0.001")
+    assert len(written) == 12 and all(df.columns == ["id", "__at"] for df, _ in written)
+    assert not any(_broadcasts(df) for df, _ in written)
+
+
 def test_collisions(spark):
     plan = spark.createDataFrame([("/1/a.jpg", "/o/a.jpg"), ("/2/a.jpg", "/o/a.jpg"), ("/3/a.jpg", "/o/a.jpg"), ("/1/b", "/o/b")], "source string, target string")
     there = spark.createDataFrame([("/o/a.jpg",), ("/o/a (2).jpg",)], "path string")
